@@ -182,8 +182,8 @@ def changes(parsed: DataFrame) -> DataFrame:
         .where(F.col("equal") >= F.col("valued") * CARRIED)
         .where("equal > 0")
     )
-    # a handful of pairs per file: at most ONE_IN times the fields of a line on either side
-    renamed = checkpointed(matches.groupBy("file_id").applyInPandas(_assign, "file_id long, old_path string, new_path string"))
+    ranked = matches.repartition("file_id").sortWithinPartitions("file_id", F.desc("kinds"), F.desc(F.col("equal") / F.col("valued")), F.desc("equal"), "old_path", "new_path")
+    renamed = checkpointed(ranked.select("file_id", "old_path", "new_path").mapInPandas(_assign, "file_id long, old_path string, new_path string"))
 
     was = state.where("state = 'gone'").select("file_id", F.col("path").alias("old_path"), "old_type")
     came = state.where("state = 'new'").select("file_id", F.col("path").alias("new_path"), "type")
@@ -202,16 +202,19 @@ def changes(parsed: DataFrame) -> DataFrame:
     )
 
 
-def _assign(pairs: pd.DataFrame) -> pd.DataFrame:
-    """One-to-one choice among the pairs of one file: the highest agreement first, more kinds of values before fewer."""
-    pairs = pairs.assign(rate=pairs["equal"] / pairs["valued"]).sort_values(["kinds", "rate", "equal", "old_path", "new_path"], ascending=[False, False, False, True, True])
-    old, new, out = set(), set(), []
-    for r in pairs.itertuples():
-        if r.old_path not in old and r.new_path not in new:
-            old.add(r.old_path)
-            new.add(r.new_path)
-            out.append((r.file_id, r.old_path, r.new_path))
-    return pd.DataFrame(out, columns=["file_id", "old_path", "new_path"])
+def _assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One-to-one choice among the pairs of each file, which come together and best first."""
+    at, old, new = None, set(), set()
+    for batch in batches:
+        out = []
+        for file_id, old_path, new_path in zip(batch["file_id"], batch["old_path"], batch["new_path"], strict=True):
+            if file_id != at:
+                at, old, new = file_id, set(), set()
+            if old_path not in old and new_path not in new:
+                old.add(old_path)
+                new.add(new_path)
+                out.append((file_id, old_path, new_path))
+        yield pd.DataFrame(out, columns=["file_id", "old_path", "new_path"])
 
 
 #: Approved fields of the target table: column, type, and the first paths it may have in a feed.
