@@ -5,12 +5,40 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from markwise.llm import mix, spans, tokens
+from markwise.llm import lookalike, mix, spans, tokens
 from markwise.session import checkpointed
 from markwise.sources.tables import table
 
 
+def answer_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """origin, row_id, answer, reference of all responses and all old-format answers."""
+    responses = table(spark, folder, "responses").select("response_id", "question_id", "normalized_answer")
+    questions = table(spark, folder, "questions").select("question_id", "reference_answer")
+    new = responses.join(questions, "question_id", "left").select(F.lit("responses").alias("origin"), F.col("response_id").alias("row_id"), F.col("normalized_answer").alias("answer"), F.col("reference_answer").alias("reference"))
+    old = table(spark, folder, "v1_answers").select(F.lit("v1_answers").alias("origin"), F.col("v1_id").alias("row_id"), F.col("student_answer").alias("answer"), F.col("reference_answer").alias("reference"))
+    return new.unionByName(old)
+
+
+def answer_bigrams(pairs: DataFrame) -> DataFrame:
+    """Character bigrams of all answers and references."""
+    return lookalike.bigram_counts(pairs.select(F.explode(F.array("answer", "reference")).alias("text")), "text")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows whose answer and reference differ in their characters and look the same."""
+    pairs = answer_pairs(spark, folder).withColumn("row", F.struct("origin", "row_id"))
+    return lookalike.looking_alike(pairs, "row", "answer", "reference", answer_bigrams(pairs)).select("row.origin", "row.row_id")
+
+
+def p4_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """Every answer and reference in its one form."""
+    pairs = answer_pairs(spark, folder)
+    formed = lookalike.one_form(pairs, {"answer": "answer_form", "reference": "reference_form"}, answer_bigrams(pairs))
+    return formed.select("origin", "row_id", "answer_form", "reference_form").distinct()
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every document by byte_bpe_50k."""
     return tokens.with_ids(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "ids")
@@ -51,7 +79,7 @@ def p8_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {f.__name__: f for f in (p6_ids, p7_mix, p7_shares, p8_found, p8_shares, p8_lines)}
+    return {f.__name__: f for f in (p4_found, p4_forms, p6_ids, p7_mix, p7_shares, p8_found, p8_shares, p8_lines)}
 
 
 P8_LINES = r"""
