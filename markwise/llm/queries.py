@@ -7,11 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markwise.llm import lookalike, mix, spans, tokens
+from markwise.llm import lookalike, mix, names, spans, tokens
 from markwise.session import checkpointed
 from markwise.sources.tables import table
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of student_refs of one class that are the same student."""
+    return names.same_student(names.students(table(spark, folder, "attempts")))
+
+
+def p3_students(spark: SparkSession, folder: str) -> DataFrame:
+    """The student of every student_ref."""
+    return names.students(table(spark, folder, "attempts"))
+
+
 def answer_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """origin, row_id, answer, reference of all responses and all old-format answers."""
     responses = table(spark, folder, "responses").select("response_id", "question_id", "normalized_answer")
@@ -79,7 +89,7 @@ def p8_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {f.__name__: f for f in (p4_found, p4_forms, p6_ids, p7_mix, p7_shares, p8_found, p8_shares, p8_lines)}
+    return {f.__name__: f for f in (p3_found, p3_students, p4_found, p4_forms, p6_ids, p7_mix, p7_shares, p8_found, p8_shares, p8_lines)}
 
 
 P8_LINES = r"""
