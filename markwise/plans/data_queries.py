@@ -49,6 +49,16 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return instants.moments(table(spark, folder, "attempts"), table(spark, folder, "org_settings"), "attempt_id", "submitted_at", "organization_id")
 
 
+P2_FOUND = """
+WITH c AS (SELECT DISTINCT record_id, CAST(payload AS JSON) AS p FROM (SELECT record_id, CASE WHEN json_valid(payload) THEN payload END AS payload FROM class_records) WHERE payload IS NOT NULL AND record_id IS NOT NULL),
+a AS (SELECT record_id, unnest(l) AS x, unnest(range(len(l))) AS i FROM (SELECT record_id, CASE json_type(p, '$.attempts') WHEN 'ARRAY' THEN CAST(p -> '$.attempts' AS JSON[]) WHEN 'OBJECT' THEN [p -> '$.attempts'] ELSE [] END AS l FROM c)),
+r AS (SELECT record_id, i, attempt_id, unnest(l) AS x, unnest(range(len(l))) AS j FROM (SELECT record_id, i, x ->> '$.attempt_id' AS attempt_id, CASE json_type(x, '$.responses') WHEN 'ARRAY' THEN CAST(x -> '$.responses' AS JSON[]) WHEN 'OBJECT' THEN [x -> '$.responses'] ELSE [] END AS l FROM a WHERE json_type(x) = 'OBJECT')),
+v AS (SELECT record_id, i, j, attempt_id, x ->> '$.question_id' AS question_id, CASE json_type(x, '$.evidence') WHEN 'VARCHAR' THEN CAST(CASE WHEN json_valid(x ->> '$.evidence') THEN x ->> '$.evidence' END AS JSON) ELSE x -> '$.evidence' END AS e FROM r WHERE json_type(x) = 'OBJECT'),
+e AS (SELECT record_id, i, j, attempt_id, question_id, unnest(l) AS x, unnest(range(len(l))) AS k FROM (SELECT *, CASE json_type(e) WHEN 'ARRAY' THEN CAST(e AS JSON[]) WHEN 'OBJECT' THEN [e] ELSE [] END AS l FROM v))
+SELECT record_id, CAST(i AS INT) AS attempt_pos, CAST(j AS INT) AS response_pos, CAST(k AS INT) AS evidence_pos, attempt_id, question_id, x ->> '$.evidence_id' AS evidence_id FROM e WHERE json_type(x) = 'OBJECT'
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
     return {f.__name__: f for f in (p1_found, p1_items, p2_found, p2_attempts, p2_responses, p2_evidence, p5_found)}
@@ -56,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL of those that SQL can express in whole."""
-    return {}
+    return {"p2_found": P2_FOUND}
