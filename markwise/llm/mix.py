@@ -47,7 +47,7 @@ def mixed(sized: DataFrame, targets: DataFrame, seed: int = 17, total: float | N
     """
     plan = sampling_plan(sized, targets, total).where("expected > 0").select("source", "expected")
     docs = (
-        sized.where("source is not null")
+        sized.select("doc_id", "source", "size").where("source is not null")
         .join(plan, "source")
         .withColumn("step", F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double")) * STEPS)).otherwise(-1).cast("int"))
         .withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(PARTS)).cast("int"))
