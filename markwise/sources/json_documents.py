@@ -17,7 +17,7 @@ def read_documents(spark: SparkSession, path: str, largest: int = LARGEST) -> Da
     ``fault`` is null, or says that the file is too large (its text is then not read), is not complete JSON, or holds
     no object at its root. No file stops the others.
     """
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("doc_id"), F.col("length").alias("bytes"), F.when(F.col("length") <= largest, F.decode("content", F.lit("UTF-8"))).alias("payload"))
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("doc_id"), F.col("length").alias("bytes"), F.when(F.col("length") <= largest, F.try_validate_utf8(F.col("content").cast("string"))).alias("payload"))
     parsed = F.try_parse_json("payload")
     fault = F.when(F.col("bytes") > largest, "too large").when(parsed.isNull(), "not JSON").when(~F.schema_of_variant(parsed).startswith("OBJECT"), "no object")
     return files.withColumn("fault", fault)
