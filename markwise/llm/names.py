@@ -38,7 +38,7 @@ SUPPORT = 1
 CHARACTER_SHARE = 50
 #: Hash slots of the n-gram weights: the table of weights that is sent to the workers has this size, whatever the corpus.
 SLOTS = 1 << 16
-HAN = re.compile("[㐀-鿿豈-﫿\U00020000-\U0003ffff]")
+HAN = re.compile("[\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 @lru_cache(maxsize=100_000)
