@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import io
+import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,3 +46,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="markwise-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def shipped(spark: SparkSession) -> SparkSession:
+    """``spark`` with this package sent to its workers, once per application, so that they need no installation."""
+    application = spark.sparkContext.applicationId
+    if application not in _SHIPPED:
+        root = Path(__file__).parent
+        packed = io.BytesIO()
+        with zipfile.ZipFile(packed, "w") as archive:
+            for file in sorted(root.rglob("*.py")):
+                archive.write(file, f"{root.name}/{file.relative_to(root)}")
+        # the driver serves this file to executors that join at any time, so it stays until the driver ends
+        folder = tempfile.mkdtemp(prefix=f"{root.name}-package-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        path = Path(folder) / f"{root.name}.zip"
+        path.write_bytes(packed.getvalue())
+        spark.sparkContext.addPyFile(str(path))
+        _SHIPPED.add(application)
+    return spark
