@@ -1,10 +1,11 @@
 """Variant spellings of names typed by people.
 
-Names become weighted vectors of character n-grams. Within a block (a class) a sparse similarity join gives every
-pair of names whose cosine reaches a threshold: names are indexed by the few rarest n-grams that any partner must
-share, so hot n-grams never meet. The pairs are checked part by part (surname, given name, middle names; typing slips,
-initials, short forms), which gives the similarity of two students; average-linkage clustering, in rounds that merge
-all mutually nearest clusters at once, groups the students.
+The parts of a name that may be its surname become weighted vectors of character n-grams. Within a block (a class) a
+sparse similarity join gives every pair of names whose surnames reach a cosine and whose given names begin alike: names
+are indexed by the heaviest n-grams that any partner must share, each together with a letter of the given name's
+beginning, so that common n-grams hardly meet even in a block that holds a third of all names. The pairs are checked
+part by part (surname, given name, middle names; typing slips, initials, short forms), which gives the similarity of
+two students; average-linkage clustering, in rounds that merge all mutually nearest clusters at once, groups them.
 
 Short forms of given names, and characters typed for one another, are learned from the table itself: from refs that
 carry several spellings of one student.
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,8 +31,10 @@ PLAIN = {"ø": "o", "æ": "a", "œ": "o", "ß": "ss", "đ": "d", "ð": "d", "ł"
 DOUBLED = (("oe", "o"), ("ae", "a"), ("ue", "u"), ("aa", "a"))
 # Words added to a name that are no part of it.
 ADDED = ("同学",)
-#: Least cosine of two names that are looked at, and least similarity of two clusters that are one student.
-COSINE, LINKED = 0.3, 0.6
+#: Least cosine of two surnames that are looked at, and least similarity of two clusters that are one student.
+COSINE, LINKED = 0.35, 0.6
+#: An n-gram rarer than one in so many surnames weighs no more than one of that rarity: slips make rare n-grams.
+RAREST = 1000
 #: Refs that must show a pair of given names before it counts; a ref is one student, so one will do.
 SUPPORT = 1
 #: A pair of characters counts if it is not rarer than one in so many of the best pairs of both.
@@ -110,50 +113,46 @@ def parts_alike(a: str, b: str, short: dict[str, tuple[str, ...]]) -> float:
     return best
 
 
-def names_alike(a: tuple[str, ...], b: tuple[str, ...], short: dict[str, tuple[str, ...]]) -> float:
+def begins(given: str, short: dict[str, tuple[str, ...]]) -> set[str]:
+    """The first two letters of a given name and of its other forms, of which one survives any slip at the beginning."""
+    return {letter for form in (given, *short.get(given, ())) for letter in form[:2]}
+
+
+def splits(name: tuple[str, ...]) -> list[tuple[str, tuple[str, ...]]]:
+    """The ways to read a name as surname and given names: the surname stands first or last and has two letters or more."""
+    if len(name) < 2:
+        return []
+    return [(s, rest) for s, rest in {name[0]: name[1:], name[-1]: name[:-1]}.items() if len(s) > 1]
+
+
+def names_alike(a: tuple[str, ...], b: tuple[str, ...], short: dict[str, tuple[str, ...]], near: Callable[[str, str], bool] = lambda x, y: True) -> float:
     """Similarity of two folded names in [0, 1]; 0 where a part contradicts.
 
-    The surname is the first or the last part. The given name is the first of the rest; middle names may be missing on
-    one side, but must not contradict. Two names of one part are alike if equal.
+    The surname is the first or the last part; two surnames must be ``near`` and within two slips. The given name is the
+    first of the rest, and must begin alike; middle names may be missing on one side, but must not contradict. Names
+    of one part are alike only if equal.
     """
     if a == b:
         return 1.0
-    if len(a) < 2 or len(b) < 2:
-        return 0.0
     best = 0.0
-    for i in {0, len(a) - 1}:
-        for j in {0, len(b) - 1}:
-            if min(len(a[i]), len(b[j])) < 2:
-                continue
-            surname = spelled_alike(a[i], b[j])
-            if surname < 0.7:
+    for surname_a, rest_a in splits(a):
+        for surname_b, rest_b in splits(b):
+            surname = spelled_alike(surname_a, surname_b)
+            if surname < 0.7 or not near(surname_a, surname_b) or not begins(rest_a[0], short) & begins(rest_b[0], short):
                 continue
-            rest_a, rest_b = a[:i] + a[i + 1 :], b[:j] + b[j + 1 :]
             given = parts_alike(rest_a[0], rest_b[0], short)
-            if not given:
-                continue
             middles = [parts_alike(x, y, short) for x, y in zip(rest_a[1:], rest_b[1:], strict=False)]
-            if 0.0 in middles:
+            if not given or 0.0 in middles:
                 continue
             middle = min(middles) if middles else 1.0 if len(rest_a) == len(rest_b) else 0.7
             best = max(best, 0.5 * surname + 0.4 * given + 0.1 * middle)
     return best
 
 
-def grams(parts: tuple[str, ...]) -> list[str]:
-    """Features of a folded name: n-grams of each part with its ends, and the initial of each part.
-
-    Characters of a Chinese name count singly and in pairs.
-    """
-    out = []
-    for p in parts:
-        if HAN.search(p):
-            out += [*p, *(p[i : i + 2] for i in range(len(p) - 1))]
-        else:
-            whole = f"^{p}$"
-            out += [whole[i : i + 2] for i in range(len(whole) - 1)] if len(p) > 1 else [f"^{p}"]
-            out += [whole[i : i + 3] for i in range(len(whole) - 2)] if len(p) > 1 else []
-    return sorted(set(out))
+def grams(part: str) -> list[str]:
+    """The three-letter n-grams of a part with its ends."""
+    whole = f"^{part}$"
+    return sorted({whole[i : i + 3] for i in range(len(whole) - 2)})
 
 
 def slot(gram: str) -> int:
@@ -246,15 +245,15 @@ def nodes(names: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def gram_weights(heads: DataFrame) -> np.ndarray:
-    """Weight of each hash slot: the log of how rare its n-grams are among all forms. Its size is fixed."""
+    """Weight of each hash slot: the log of how rare its n-grams are among all possible surnames. Its size is fixed."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.zeros(SLOTS + 1, dtype=np.int64)
         for batch in batches:
             for forms in batch["forms"]:
-                for form in forms:
+                for surname in (s for form in forms for s, _ in splits(tuple(form))):
                     seen[SLOTS] += 1
-                    for g in grams(tuple(form)):
+                    for g in grams(surname):
                         seen[slot(g)] += 1
         at = np.flatnonzero(seen)
         yield pd.DataFrame({"slot": at, "n": seen[at]})
@@ -262,12 +261,13 @@ def gram_weights(heads: DataFrame) -> np.ndarray:
     counts = np.zeros(SLOTS + 1)
     for r in heads.select("forms").mapInPandas(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
         counts[r["slot"]] = r["n"]
-    return np.log1p(counts[SLOTS] / np.maximum(counts[:SLOTS], 1))
+    whole = counts[SLOTS]
+    return np.log1p(whole / np.maximum(counts[:SLOTS], max(1.0, whole / RAREST)))
 
 
-def vector(form: tuple[str, ...], weights: np.ndarray) -> dict[str, float]:
-    """The n-gram vector of a form, of length 1."""
-    v = {g: float(weights[slot(g)]) for g in grams(form)}
+def vector(surname: str, weights: np.ndarray) -> dict[str, float]:
+    """The n-gram vector of a surname, of length 1."""
+    v = {g: float(weights[slot(g)]) for g in grams(surname)}
     length = sum(x * x for x in v.values()) ** 0.5
     return {g: x / length for g, x in v.items()} if length else {}
 
@@ -283,15 +283,25 @@ def index_grams(v: dict[str, float], cosine: float) -> list[str]:
     return out
 
 
-def _cosine(a: dict[str, float], b: dict[str, float]) -> float:
+def index_keys(form: tuple[str, ...], short: dict[str, tuple[str, ...]], weights: np.ndarray, cosine: float) -> set[str]:
+    """Keys of which two names share one if their surnames reach ``cosine`` and their given names begin alike.
+
+    A name that has no surname to split off has itself as its key.
+    """
+    keys = {f"{g}{letter}" for surname, rest in splits(form) for g in index_grams(vector(surname, weights), cosine) for letter in begins(rest[0], short)}
+    return keys | ({f"={' '.join(form)}"} if not splits(form) else set())
+
+
+def cosine_of(a: dict[str, float], b: dict[str, float]) -> float:
+    """Cosine of two vectors of length 1."""
     return sum(x * b.get(g, 0.0) for g, x in a.items())
 
 
 def links(heads: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """a, b, alike: all pairs of nodes of one block with forms of at least ``cosine``, and how alike they are (above 0).
+    """a, b, alike: all pairs of nodes of one block with surnames of at least ``cosine``, and how alike they are (above 0).
 
-    No partner is capped. Both names of a pair of that cosine hold one of each other's index n-grams, because n-grams
-    of one weight order are cut where the rest cannot reach the threshold.
+    No partner is capped. Two vectors of that cosine share one of each other's index n-grams, because both order
+    n-grams by the same weights and cut where the rest cannot reach the threshold.
     """
     spark = heads.sparkSession
     sent = spark.sparkContext.broadcast(gram_weights(heads))
@@ -299,28 +309,24 @@ def links(heads: DataFrame, cosine: float = COSINE) -> DataFrame:
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for node, block, forms in zip(batch["node"], batch["block"], batch["forms"], strict=True):
-                out += [(node, block, g) for g in {g for f in forms for g in index_grams(vector(tuple(f), sent.value), cosine)}]
-            yield pd.DataFrame(out, columns=["node", "block", "gram"])
+            for node, block, forms, others in zip(batch["node"], batch["block"], batch["forms"], batch["others"], strict=True):
+                short = {x["key"]: tuple(x["value"]) for x in others} if others is not None else {}
+                out += [(node, block, k) for k in set().union(*(index_keys(tuple(f), short, sent.value, cosine) for f in forms))]
+            yield pd.DataFrame(out, columns=["node", "block", "key"])
 
-    rows = heads.select("node", "block", "forms").mapInPandas(index, "node string, block string, gram string")
-    rows = checkpointed(rows)
-    pairs = rows.select("block", "gram", F.col("node").alias("a")).join(rows.select("block", "gram", F.col("node").alias("b")), ["block", "gram"]).where("a < b").select("a", "b").distinct()
+    rows = checkpointed(heads.select("node", "block", "forms", F.map_entries("others").alias("others")).mapInPandas(index, "node string, block string, key string"))
+    pairs = rows.select("block", "key", F.col("node").alias("a")).join(rows.select("block", "key", F.col("node").alias("b")), ["block", "key"]).where("a < b").select("a", "b").distinct()
     side = lambda name: heads.select(F.col("node").alias(name), F.col("forms").alias(f"forms_{name}"), F.map_entries(F.col("others")).alias(f"others_{name}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
 
     @F.pandas_udf("double")
     def alike(forms_a: pd.Series, forms_b: pd.Series, others_a: pd.Series, others_b: pd.Series) -> pd.Series:
         weights, out = sent.value, []
+        of = lru_cache(maxsize=50_000)(lambda surname: vector(surname, weights))
+        near = lambda x, y: cosine_of(of(x), of(y)) >= cosine
         for fa, fb, oa, ob in zip(forms_a, forms_b, others_a, others_b, strict=True):
-            short = {e["part"]: tuple(e["others"]) for o in (oa, ob) if o is not None for e in ({"part": x["key"], "others": x["value"]} for x in o)}
-            best = 0.0
-            for a in map(tuple, fa):
-                va = vector(a, weights)
-                for b in map(tuple, fb):
-                    if _cosine(va, vector(b, weights)) >= cosine:
-                        best = max(best, names_alike(a, b, short))
-            out.append(best)
+            short = {x["key"]: tuple(x["value"]) for o in (oa, ob) if o is not None for x in o}
+            out.append(max(names_alike(tuple(a), tuple(b), short, near) for a in fa for b in fb))
         return pd.Series(out)
 
     return both.select("a", "b", alike("forms_a", "forms_b", "others_a", "others_b").alias("alike")).where("alike > 0")
