@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from markwise.functions import hashing, labels, text, vectors
 from markwise.functions.numeric import percentage
-from markwise.operators import answers, audit, graph, migration, statistics, validation, vocabulary
+from markwise.operators import answers, audit, changes, graph, migration, statistics, validation, vocabulary
+from markwise.plans import data_queries
 from markwise.plans.exam_views import BASE, attempts, joined, percent_sql, placed, questions, responses
 from markwise.sources.tables import table
 
@@ -484,6 +485,41 @@ def type_summary(spark: SparkSession, folder: str) -> DataFrame:
     return got.withColumn("correct_rate", percentage(F.col("correct"), F.col("n")))
 
 
+@query("SELECT event_id, user_id, event_type, value, lag(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before FROM events")
+def value_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every event with the value that it replaces for its user and type."""
+    return changes.traced(table(spark, folder, "events"), ["user_id", "event_type"], ["ts", "event_id"], "value").select("event_id", "user_id", "event_type", "value", "before")
+
+
+@query(
+    """WITH l AS (SELECT user_id AS c_custkey, arg_max(value, (ts, event_id)) AS v, count(*) AS n FROM events GROUP BY 1)
+SELECT c_custkey, CASE WHEN n > 0 THEN v ELSE c_acctbal END AS c_acctbal, coalesce(n, 0) AS changed FROM customer LEFT JOIN l USING (c_custkey)"""
+)
+def changes_applied(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers with their last event's value in place of the balance."""
+    news = table(spark, folder, "events").select(F.col("user_id").alias("c_custkey"), "ts", "event_id", F.col("value").alias("c_acctbal"))
+    return changes.applied(table(spark, folder, "customer").select("c_custkey", "c_acctbal"), news, ["c_custkey"], ["ts", "event_id"], "c_acctbal")
+
+
+@query("SELECT DISTINCT user_id AS c_custkey FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer)")
+def changes_unmatched(spark: SparkSession, folder: str) -> DataFrame:
+    """Users of events that are no customers."""
+    return changes.unmatched(table(spark, folder, "events").select(F.col("user_id").alias("c_custkey")), table(spark, folder, "customer"), ["c_custkey"])
+
+
+@query(data_queries.P2_FOUND.rsplit("SELECT", 1)[0] + """SELECT record_id, CAST(i AS INT) AS attempt_pos, CAST(j AS INT) AS response_pos, count(*) AS evidence, count(*) FILTER (x ->> '$.causal_role' = 'causal') AS causal,
+min(TRY_CAST(x ->> '$.step' AS INT)) FILTER (x ->> '$.causal_role' = 'causal') AS first_step FROM e WHERE json_type(x) = 'OBJECT' GROUP BY 1, 2, 3""")
+def causal_steps(spark: SparkSession, folder: str) -> DataFrame:
+    """Evidence of every response of the class records, with the first causal step."""
+    return changes.first_causal_step(data_queries.p2_evidence(spark, folder), ["record_id", "attempt_pos", "response_pos"])
+
+
+@query("SELECT DISTINCT response_id, list_min(list_transform(error_tags, lambda t: t.confidence)) AS least FROM responses")
+def tag_confidence(spark: SparkSession, folder: str) -> DataFrame:
+    """The least tag confidence of every response."""
+    return responses(spark, folder).select("response_id", changes.least_confidence(F.col("error_tags")).alias("least"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
     return dict(QUERIES)
