@@ -137,8 +137,10 @@ def names_alike(a: tuple[str, ...], b: tuple[str, ...], short: dict[str, tuple[s
     best = 0.0
     for surname_a, rest_a in splits(a):
         for surname_b, rest_b in splits(b):
+            if not near(surname_a, surname_b) or not begins(rest_a[0], short) & begins(rest_b[0], short):
+                continue
             surname = spelled_alike(surname_a, surname_b)
-            if surname < 0.7 or not near(surname_a, surname_b) or not begins(rest_a[0], short) & begins(rest_b[0], short):
+            if surname < 0.7:
                 continue
             given = parts_alike(rest_a[0], rest_b[0], short)
             middles = [parts_alike(x, y, short) for x, y in zip(rest_a[1:], rest_b[1:], strict=False)]
@@ -283,13 +285,14 @@ def index_grams(v: dict[str, float], cosine: float) -> list[str]:
     return out
 
 
-def index_keys(form: tuple[str, ...], short: dict[str, tuple[str, ...]], weights: np.ndarray, cosine: float) -> set[str]:
-    """Keys of which two names share one if their surnames reach ``cosine`` and their given names begin alike.
+def index_keys(form: tuple[str, ...], short: dict[str, tuple[str, ...]], weights: np.ndarray, cosine: float) -> set[tuple[str, str]]:
+    """Keys, with their surname, of which two names share one if their surnames reach ``cosine`` and their given names begin alike.
 
     A name that has no surname to split off has itself as its key.
     """
-    keys = {f"{g}{letter}" for surname, rest in splits(form) for g in index_grams(vector(surname, weights), cosine) for letter in begins(rest[0], short)}
-    return keys | ({f"={' '.join(form)}"} if not splits(form) else set())
+    keys = {(f"{g}{letter}", surname) for surname, rest in splits(form) for g in index_grams(vector(surname, weights), cosine) for letter in begins(rest[0], short)}
+    whole = " ".join(form)
+    return keys or {(f"={whole}", whole)}
 
 
 def cosine_of(a: dict[str, float], b: dict[str, float]) -> float:
@@ -311,11 +314,13 @@ def links(heads: DataFrame, cosine: float = COSINE) -> DataFrame:
             out = []
             for node, block, forms, others in zip(batch["node"], batch["block"], batch["forms"], batch["others"], strict=True):
                 short = {x["key"]: tuple(x["value"]) for x in others} if others is not None else {}
-                out += [(node, block, k) for k in set().union(*(index_keys(tuple(f), short, sent.value, cosine) for f in forms))]
-            yield pd.DataFrame(out, columns=["node", "block", "key"])
+                out += [(node, block, *k) for k in set().union(*(index_keys(tuple(f), short, sent.value, cosine) for f in forms))]
+            yield pd.DataFrame(out, columns=["node", "block", "key", "surname"])
 
-    rows = checkpointed(heads.select("node", "block", "forms", F.map_entries("others").alias("others")).mapInPandas(index, "node string, block string, key string"))
-    pairs = rows.select("block", "key", F.col("node").alias("a")).join(rows.select("block", "key", F.col("node").alias("b")), ["block", "key"]).where("a < b").select("a", "b").distinct()
+    rows = checkpointed(heads.select("node", "block", "forms", F.map_entries("others").alias("others")).mapInPandas(index, "node string, block string, key string, surname string"))
+    met = rows.select("block", "key", F.col("node").alias("a"), F.col("surname").alias("x")).join(rows.select("block", "key", F.col("node").alias("b"), F.col("surname").alias("y")), ["block", "key"]).where("a < b")
+    # two slips are at most four edits, a swap being two: most pairs of a common n-gram end here, inside the JVM
+    pairs = met.where(F.levenshtein("x", "y", 4) >= 0).select("a", "b").distinct()
     side = lambda name: heads.select(F.col("node").alias(name), F.col("forms").alias(f"forms_{name}"), F.map_entries(F.col("others")).alias(f"others_{name}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
 
