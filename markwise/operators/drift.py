@@ -90,13 +90,13 @@ def fields_of(lines: DataFrame, values: bool = False) -> DataFrame:
 
     A line whose payload is not complete JSON is left out; a complete value that is no object has no fields. ``item``
     is the attempt and question id, or the id of an extension; null where the line names none. Lines without line_id,
-    feed or file_id cannot be told apart or placed and are left out.
+    file_id, feed or seq cannot be told apart or placed and are left out.
 
     The texts are parsed once and the result is kept in the shared checkpoint folder. ``values`` adds each value's
     JSON text and its plain text, which the consistent table needs.
     """
     once = (
-        lines.where(F.col("line_id").isNotNull() & F.col("file_id").isNotNull() & F.col("payload").isNotNull())
+        lines.where(" and ".join(f"{c} is not null" for c in ("line_id", "file_id", "feed", "seq", "payload")))
         .groupBy("line_id").agg(F.min(F.struct("feed", "seq", "file_id", "kind", "payload")).alias("l"))
         .select("line_id", "l.*")
     )

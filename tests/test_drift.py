@@ -36,7 +36,7 @@ def test_rare_broken_repeated_and_odd_lines(spark):
     one = [item(i, v=i) for i in range(40)]
     two = [item(i, v=i) for i in range(20, 58)] + [item(58, v=58, stray=1), '{"attempt_id": "a1", "v', "[1]", "null", ""]
     frame = lines(spark, {("1", 1): one, ("1", 2): two})
-    frame = frame.unionByName(frame).unionByName(spark.createDataFrame([(None, 12, "1", "v2", 2, '{"z": 1}', "", ""), (999, None, "1", "v2", 2, '{"z": 1}', "", ""), (998, 12, "1", "v2", 2, None, "", "")], SCHEMA))
+    frame = frame.unionByName(frame).unionByName(spark.createDataFrame([(None, 12, "1", "v2", 2, '{"z": 1}', "", ""), (999, None, "1", "v2", 2, '{"z": 1}', "", ""), (998, 12, "1", "v2", 2, None, "", ""), (997, 12, None, "v2", 2, '{"z": 1}', "", ""), (996, 12, "1", "v2", None, '{"z": 1}', "", "")], SCHEMA))
     assert found(spark, frame) == []
 
 
