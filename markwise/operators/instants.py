@@ -82,12 +82,11 @@ def alternation() -> tuple[str, dict[str, list[str]]]:
 
 
 def _split(text: Column) -> Column:
-    """Array of the components of ``text`` (empty where absent), null where no notation fits."""
+    """Array of the components of ``text`` (empty where absent), of one element where no notation fits."""
     pattern, names = alternation()
     replacement = _SEP.join("".join(f"${{{g}}}" for g in names[part]) for part in PARTS)
     trimmed = F.regexp_replace(F.translate(text, _FULL_WIDTH, _ORDINARY), r"\A[\s​﻿]+|[\s​﻿]+\z", "")
-    parts = F.split(F.regexp_replace(F.when((F.length(text) <= LONGEST) & ~F.contains(text, F.lit(_SEP)), trimmed), pattern, replacement), _SEP)
-    return F.when(F.size(parts) == len(PARTS), parts)
+    return F.split(F.regexp_replace(F.when((F.length(text) <= LONGEST) & ~F.contains(text, F.lit(_SEP)), trimmed), pattern, replacement), _SEP)
 
 
 def days_from_civil(year: Column, month: Column, day: Column) -> Column:
@@ -124,7 +123,9 @@ def with_instant(df: DataFrame, text: str, zone: str, day_first: str, out: str =
     number = lambda name: part(name).cast("int")
     months = F.create_map(*[F.lit(x) for m, words in MONTHS.items() for w in words.split() for x in (w, m)])
 
-    df = df.withColumn(f"{p}parts", _split(F.col(text).cast("string")))
+    # a column of its own first, so that the expression is evaluated once per value
+    df = df.withColumn(f"{p}found", _split(F.col(text).cast("string")))
+    df = df.withColumn(f"{p}parts", F.when(F.size(f"{p}found") == len(PARTS), F.col(f"{p}found")))
     hour, half = number("hour"), F.lower(part("half"))
     columns = {
         "year": F.coalesce(number("year"), number("short") + F.when(number("short") < 70, 2000).otherwise(1900)),
@@ -168,7 +169,7 @@ def with_instant(df: DataFrame, text: str, zone: str, day_first: str, out: str =
     by_zone = F.when(back == c("local"), shifted)
     written = c("offset").isNotNull() | c("abbreviation").isNotNull()
     df = df.withColumn(out, F.when(c("epoch").isNotNull(), epoch).when(written, c("local") - c("shift").cast("bigint") * US).otherwise(by_zone))
-    return df.drop(*[f"{p}{k}" for k in (*columns, "parts", "local", "wide", "own", "shift", "z", "a", "o")])
+    return df.drop(*[f"{p}{k}" for k in (*columns, "found", "parts", "local", "wide", "own", "shift", "z", "a", "o")])
 
 
 def moments(rows: DataFrame, context: DataFrame, key: str, text: str, context_key: str, zone: str = "time_zone", day_first: str = "day_first", out: str = "submitted_us") -> DataFrame:

@@ -13,7 +13,7 @@ from markwise.sources.report import VIEW
 
 def report_model(spark: SparkSession, folder: str, class_id: str, organization_id: str = "", most: int = 50) -> dict:
     """The report of one class. Only rolled-up rows reach the driver: one per question or tag, and ``most`` students."""
-    rows = placed(spark, folder).where(F.col("class_id") == class_id).persist()
+    rows = placed(spark, folder, "is_correct", "review_status", "error_tags").where(F.col("class_id") == class_id).persist()
     try:
         got = statistics.overall(rows).first()
         mine = attempts(spark, folder).where(F.col("class_id") == class_id)
@@ -36,4 +36,4 @@ def report_model(spark: SparkSession, folder: str, class_id: str, organization_i
 
 def top_questions(spark: SparkSession, folder: str, most: int = 3) -> DataFrame:
     """The questions that cost the most."""
-    return statistics.question_insight(questions(spark, folder), placed(spark, folder)).where(F.col("position") <= most)
+    return statistics.question_insight(questions(spark, folder), placed(spark, folder, "is_correct", "review_status")).where(F.col("position") <= most)

@@ -43,13 +43,13 @@ SELECT n AS responses, s AS scored, n - s AS unscored, w AS incorrect, {percent_
 )
 def overall_statistics(spark: SparkSession, folder: str) -> DataFrame:
     """Totals and rates over all responses."""
-    return statistics.overall(joined(spark, folder))
+    return statistics.overall(joined(spark, folder, "is_correct"))
 
 
 @query(BASE + "SELECT coalesce(difficulty, 'unknown') AS difficulty, count(*) AS n FROM j GROUP BY 1")
 def difficulty_distribution(spark: SparkSession, folder: str) -> DataFrame:
     """Responses by difficulty."""
-    return statistics.difficulty_distribution(joined(spark, folder))
+    return statistics.difficulty_distribution(joined(spark, folder, "question_id"))
 
 
 @query(
@@ -59,7 +59,7 @@ count(*) FILTER (score_u IS NOT NULL AND is_correct = false) AS incorrect FROM p
 )
 def class_summary(spark: SparkSession, folder: str) -> DataFrame:
     """Responses, scored and incorrect ones of each class."""
-    return statistics.class_summary(placed(spark, folder))
+    return statistics.class_summary(placed(spark, folder, "is_correct"))
 
 
 def _tags_sql(dimension: str) -> str:
@@ -74,13 +74,13 @@ SELECT name, n, denominator, {percent_sql("n", "denominator")} AS percentage FRO
 @query(_tags_sql("knowledge"))
 def knowledge_distribution(spark: SparkSession, folder: str) -> DataFrame:
     """Knowledge tags of incorrect responses."""
-    return statistics.tag_distribution(joined(spark, folder), "knowledge")
+    return statistics.tag_distribution(joined(spark, folder, "is_correct"), "knowledge")
 
 
 @query(_tags_sql("cognitive"))
 def cognitive_distribution(spark: SparkSession, folder: str) -> DataFrame:
     """Cognitive tags of incorrect responses."""
-    return statistics.tag_distribution(joined(spark, folder), "cognitive")
+    return statistics.tag_distribution(joined(spark, folder, "is_correct"), "cognitive")
 
 
 NAMES = """, w AS (SELECT * FROM j WHERE score_u IS NOT NULL AND is_correct = false), d AS (SELECT count(*) AS denominator FROM w),
@@ -91,13 +91,13 @@ n AS (SELECT DISTINCT response_id, u.name AS name FROM (SELECT response_id, unne
 @query(BASE + NAMES + f", c AS (SELECT name, count(*) AS n FROM n GROUP BY 1) SELECT name, n, denominator, {percent_sql('n', 'denominator')} AS percentage FROM c, d")
 def error_distribution(spark: SparkSession, folder: str) -> DataFrame:
     """Error tags of incorrect responses, each once per response."""
-    return statistics.error_distribution(joined(spark, folder))
+    return statistics.error_distribution(joined(spark, folder, "is_correct", "error_tags"))
 
 
 @query(BASE + NAMES + 'SELECT x.name AS "first", y.name AS "second", count(*) AS n, min(x.response_id) AS at FROM n x JOIN n y ON x.response_id = y.response_id AND x.name < y.name GROUP BY 1, 2')
 def error_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Error tags that occur together."""
-    return statistics.error_pairs(joined(spark, folder))
+    return statistics.error_pairs(joined(spark, folder, "is_correct", "error_tags"))
 
 
 # --- questions and students ---------------------------------------------------------------------------------------
@@ -113,7 +113,7 @@ CAST(row_number() OVER (ORDER BY lost_u DESC, incorrect DESC, review_count DESC,
 )
 def question_insight(spark: SparkSession, folder: str) -> DataFrame:
     """Every question with its figures and its place in the order of priority."""
-    return statistics.question_insight(questions(spark, folder), joined(spark, folder))
+    return statistics.question_insight(questions(spark, folder), joined(spark, folder, "is_correct", "review_status"))
 
 
 @query(
@@ -123,7 +123,7 @@ SELECT question_id, name, n, CAST(row_number() OVER (PARTITION BY question_id OR
 )
 def question_errors(spark: SparkSession, folder: str) -> DataFrame:
     """Error tags of every question by frequency."""
-    return statistics.question_errors(joined(spark, folder))
+    return statistics.question_errors(joined(spark, folder, "error_tags"))
 
 
 @query(
@@ -133,7 +133,7 @@ SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY student_ref
 )
 def question_examples(spark: SparkSession, folder: str) -> DataFrame:
     """The first incorrect responses of every question."""
-    return statistics.question_examples(placed(spark, folder))
+    return statistics.question_examples(placed(spark, folder, "is_correct", "normalized_answer"))
 
 
 @query(
@@ -155,7 +155,7 @@ SELECT student_ref, attempts, CAST(e AS DOUBLE) / 1000000 AS scored_score, CAST(
 )
 def student_summary(spark: SparkSession, folder: str) -> DataFrame:
     """Figures of every student over all attempts."""
-    return statistics.student_summary(placed(spark, folder))
+    return statistics.student_summary(placed(spark, folder, "is_correct"))
 
 
 def _top_sql(array: str, condition: str) -> str:
@@ -169,13 +169,13 @@ SELECT student_ref, name, n, CAST(row_number() OVER (PARTITION BY student_ref OR
 @query(_top_sql("error_tags", "true"))
 def student_top_errors(spark: SparkSession, folder: str) -> DataFrame:
     """The two most frequent error tags of every student."""
-    return statistics.student_top(placed(spark, folder), F.transform("error_tags", lambda t: t["name"]))
+    return statistics.student_top(placed(spark, folder, "is_correct", "error_tags"), F.transform("error_tags", lambda t: t["name"]))
 
 
 @query(_top_sql("tags", "u.dimension = 'knowledge'"))
 def student_weak_knowledge(spark: SparkSession, folder: str) -> DataFrame:
     """The two most frequent knowledge tags of every student's incorrect responses."""
-    return statistics.student_top(placed(spark, folder), F.transform(F.filter("tags", lambda t: t["dimension"] == "knowledge"), lambda t: t["name"]))
+    return statistics.student_top(placed(spark, folder, "is_correct"), F.transform(F.filter("tags", lambda t: t["dimension"] == "knowledge"), lambda t: t["name"]))
 
 
 @query("SELECT student_ref, min(student_name) AS name, count(DISTINCT student_name) AS names, count(DISTINCT student_name) > 1 AS conflict FROM attempts WHERE nullif(student_ref, '') IS NOT NULL GROUP BY 1")
@@ -188,7 +188,7 @@ def student_names(spark: SparkSession, folder: str) -> DataFrame:
 @query(BASE + "SELECT (SELECT count(*) FROM a) AS student_count, (SELECT count(DISTINCT class_id) FROM a) AS class_count, count(*) AS responses, count(*) FILTER (score_u IS NOT NULL) AS scored FROM j")
 def report_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """The head figures of a report."""
-    return statistics.report_metrics(joined(spark, folder), attempts(spark, folder))
+    return statistics.report_metrics(joined(spark, folder, "question_id"), attempts(spark, folder))
 
 
 @query(
@@ -198,7 +198,7 @@ def report_metrics(spark: SparkSession, folder: str) -> DataFrame:
 def student_reviews(spark: SparkSession, folder: str) -> DataFrame:
     """How many responses of every student wait for a review."""
     key = F.coalesce(F.nullif(F.col("student_ref"), F.lit("")), F.lit("anonymous-student"))
-    return placed(spark, folder).groupBy(key.alias("student_ref")).agg(F.count_if(F.col("review_status").isin("needs_review", "provisional")).alias("review_count"), F.count("*").alias("responses"))
+    return placed(spark, folder, "review_status").groupBy(key.alias("student_ref")).agg(F.count_if(F.col("review_status").isin("needs_review", "provisional")).alias("review_count"), F.count("*").alias("responses"))
 
 
 # --- graph and similarity -----------------------------------------------------------------------------------------
@@ -215,7 +215,7 @@ FROM g LEFT JOIN k USING (question_id)"""
 )
 def graph_nodes(spark: SparkSession, folder: str) -> DataFrame:
     """Questions as nodes of the similarity graph."""
-    return graph.node_statistics(questions(spark, folder), joined(spark, folder))
+    return graph.node_statistics(questions(spark, folder), joined(spark, folder, "is_correct", "review_status"))
 
 
 EDGES = """, own AS (SELECT question_id, u.dimension AS dimension, u.name AS name, arg_max(coalesce(u.confidence, 1.0), i) AS weight FROM (SELECT question_id, unnest(tags) AS u, unnest(range(len(tags))) AS i FROM questions)
@@ -234,7 +234,7 @@ e AS (SELECT source, target, sum(CASE WHEN coalesce(a, 0) + coalesce(b, 0) - lo
 @query(BASE + EDGES + "SELECT source, target, CAST(round(CAST(weight AS DECIMAL(18,9)), 4) AS DOUBLE) AS weight FROM e WHERE weight >= 0.2")
 def graph_edges(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of questions with a similarity of at least 0.2."""
-    return graph.edges(graph.tag_weights(questions(spark, folder), joined(spark, folder)))
+    return graph.edges(graph.tag_weights(questions(spark, folder), joined(spark, folder, "error_tags")))
 
 
 @query(
@@ -270,7 +270,7 @@ def vector_cosine(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def normalize_text(spark: SparkSession, folder: str) -> DataFrame:
     """Normalised answers."""
-    return responses(spark, folder).select("response_id", text.normalize_text(F.col("normalized_answer")).alias("normalized"))
+    return responses(spark, folder, "normalized_answer").select("response_id", text.normalize_text(F.col("normalized_answer")).alias("normalized"))
 
 
 @query(
@@ -308,7 +308,7 @@ FROM (SELECT DISTINCT response_id, normalized_answer FROM responses)"""
 )
 def answer_sets(spark: SparkSession, folder: str) -> DataFrame:
     """Items of every answer, as a set; none for a missing answer."""
-    return responses(spark, folder).select("response_id", F.array_join(text.answer_set(F.lower(F.coalesce("normalized_answer", F.lit("")))), "|").alias("items"))
+    return responses(spark, folder, "normalized_answer").select("response_id", F.array_join(text.answer_set(F.lower(F.coalesce("normalized_answer", F.lit("")))), "|").alias("items"))
 
 
 @query(
@@ -319,7 +319,7 @@ def answer_sets(spark: SparkSession, folder: str) -> DataFrame:
 )
 def label_lookup(spark: SparkSession, folder: str) -> DataFrame:
     """Error tags with their labels; counted before they are labelled."""
-    counts = responses(spark, folder).select(F.explode("error_tags").alias("t")).where("t.name is not null").groupBy(F.col("t.name").alias("name")).agg(F.count("*").alias("n"))
+    counts = responses(spark, folder, "error_tags").select(F.explode("error_tags").alias("t")).where("t.name is not null").groupBy(F.col("t.name").alias("name")).agg(F.count("*").alias("n"))
     return counts.select("name", labels.label("error", F.col("name"), F.lit("其他")).alias("label"), "n")
 
 
@@ -329,7 +329,7 @@ FROM (SELECT DISTINCT response_id, coalesce(normalized_answer, '') AS v FROM res
 )
 def csv_cells(spark: SparkSession, folder: str) -> DataFrame:
     """Answers as cells for spreadsheets, guarded against formulas."""
-    return responses(spark, folder).select("response_id", text.csv_cell(F.col("normalized_answer")).alias("cell"))
+    return responses(spark, folder, "normalized_answer").select("response_id", text.csv_cell(F.col("normalized_answer")).alias("cell"))
 
 
 @query()
@@ -379,7 +379,7 @@ def vocabulary_candidates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _tags(spark: SparkSession, folder: str) -> DataFrame:
-    rows = placed(spark, folder).select(F.explode("error_tags").alias("t"), F.col("response_id").alias("at"), "question_id", "student_ref")
+    rows = placed(spark, folder, "error_tags").select(F.explode("error_tags").alias("t"), F.col("response_id").alias("at"), "question_id", "student_ref")
     return rows.select("t.dimension", "t.name", F.lit(None).cast("string").alias("display_name"), "at", "question_id", "student_ref")
 
 
@@ -439,7 +439,7 @@ SELECT 'responses/' || response_id AS location, rule FROM v WHERE rule IS NOT NU
 )
 def validation_errors(spark: SparkSession, folder: str) -> DataFrame:
     """Every violated rule of every response."""
-    return validation.violations(responses(spark, folder), questions(spark, folder))
+    return validation.violations(responses(spark, folder, "attempt_id", "question_id", "raw_ocr_text", "confidence", "review_status", "score", "is_correct", "first_error_step", "error_tags"), questions(spark, folder))
 
 
 @query(
@@ -472,7 +472,7 @@ def paper_totals(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def compared_answers(spark: SparkSession, folder: str) -> DataFrame:
     """Every response compared with its reference by the type of its question."""
-    return answers.compared(joined(spark, folder)).select("response_id", "matches", "match_share", "match_note")
+    return answers.compared(joined(spark, folder, "normalized_answer")).select("response_id", "matches", "match_share", "match_note")
 
 
 @query(
@@ -481,7 +481,7 @@ def compared_answers(spark: SparkSession, folder: str) -> DataFrame:
 )
 def type_summary(spark: SparkSession, folder: str) -> DataFrame:
     """Correct responses by type of question."""
-    got = joined(spark, folder).groupBy("question_type").agg(F.count("*").alias("n"), F.count_if(F.col("is_correct").eqNullSafe(F.lit(True))).alias("correct"))
+    got = joined(spark, folder, "is_correct").groupBy("question_type").agg(F.count("*").alias("n"), F.count_if(F.col("is_correct").eqNullSafe(F.lit(True))).alias("correct"))
     return got.withColumn("correct_rate", percentage(F.col("correct"), F.col("n")))
 
 
@@ -517,7 +517,7 @@ def causal_steps(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT DISTINCT response_id, list_min(list_transform(error_tags, lambda t: t.confidence)) AS least FROM responses")
 def tag_confidence(spark: SparkSession, folder: str) -> DataFrame:
     """The least tag confidence of every response."""
-    return responses(spark, folder).select("response_id", changes.least_confidence(F.col("error_tags")).alias("least"))
+    return responses(spark, folder, "error_tags").select("response_id", changes.least_confidence(F.col("error_tags")).alias("least"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

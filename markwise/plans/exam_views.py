@@ -9,9 +9,14 @@ from markwise.functions.numeric import units
 from markwise.sources.tables import table
 
 
-def responses(spark: SparkSession, folder: str) -> DataFrame:
-    """Responses without repeated rows."""
-    return table(spark, folder, "responses").dropDuplicates(["response_id"])
+def responses(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """response_id and the named columns (all by default) of the responses, without repeated rows.
+
+    Repeated rows are equal, so a distinct over the columns that a query needs leaves one; unlike a choice of one row per id
+    it is aggregated by hash, without sorting.
+    """
+    rows = table(spark, folder, "responses")
+    return (rows.select("response_id", *[c for c in columns if c != "response_id"]) if columns else rows).distinct()
 
 
 def questions(spark: SparkSession, folder: str) -> DataFrame:
@@ -25,17 +30,20 @@ def attempts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "attempts").groupBy("attempt_id").agg(filled("student_ref"), filled("class_id"))
 
 
-def joined(spark: SparkSession, folder: str) -> DataFrame:
-    """Responses with their question; ``score_u`` and ``max_u`` are scores in millionths. Unknown questions give no row."""
-    r, q = responses(spark, folder), questions(spark, folder)
+def joined(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """Responses with their question; ``score_u`` and ``max_u`` are scores in millionths. Unknown questions give no row.
+
+    ``columns`` of the responses are read beside question_id and score; all by default.
+    """
+    r, q = responses(spark, folder, *(("question_id", "score", *columns) if columns else ())), questions(spark, folder)
     both = r.join(q, "question_id")
     score = F.when(F.isnan("score"), None).otherwise(F.col("score"))
     return both.withColumns({"score_u": units(score), "max_u": units(F.col("max_score"))})
 
 
-def placed(spark: SparkSession, folder: str) -> DataFrame:
+def placed(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     """Responses with their question and attempt."""
-    return joined(spark, folder).join(attempts(spark, folder), "attempt_id")
+    return joined(spark, folder, *(("attempt_id", *columns) if columns else ())).join(attempts(spark, folder), "attempt_id")
 
 
 #: The same views in DuckDB's SQL, as the beginning of a query.
