@@ -7,6 +7,9 @@ beginning, so that common n-grams hardly meet even in a block that holds a third
 part by part (surname, given name, middle names; typing slips, initials, short forms), which gives the similarity of
 two students; average-linkage clustering, in rounds that merge all mutually nearest clusters at once, groups them.
 
+Names in Chinese characters go through the same join as a whole: their n-grams are characters and pairs of characters
+with their position, characters of one Mandarin reading (ICU, without tones) counted as the same.
+
 Short forms of given names, and characters typed for one another, are learned from the table itself: from refs that
 carry several spellings of one student.
 """
@@ -21,7 +24,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markwise.session import checkpointed
@@ -41,7 +44,14 @@ SUPPORT = 1
 CHARACTER_SHARE = 50
 #: Hash slots of the n-gram weights: the table of weights that is sent to the workers has this size, whatever the corpus.
 SLOTS = 1 << 16
+#: Similarity of two names in Chinese characters of the same sounds, and of two that differ in the sound of one character.
+#: The second alone links nobody (brothers and sisters differ so); it counts in the mean of two clusters.
+SAME_SOUND, ONE_SOUND = 0.9, 0.5
+#: Combining marks of the four tones.
+TONES = dict.fromkeys(map(ord, "\u0304\u0301\u030c\u0300"))
 HAN = re.compile("[\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+#: The same for rlike.
+HAN_SQL = HAN.pattern
 
 
 @lru_cache(maxsize=100_000)
@@ -125,15 +135,31 @@ def splits(name: tuple[str, ...]) -> list[tuple[str, tuple[str, ...]]]:
     return [(s, rest) for s, rest in {name[0]: name[1:], name[-1]: name[:-1]}.items() if len(s) > 1]
 
 
+def heard(name: str, short: dict[str, tuple[str, ...]]) -> str:
+    """A name in Chinese characters by its sounds, which ``short`` holds as its other form; as it is written if unknown."""
+    return short.get(name, (name,))[0]
+
+
+def characters_alike(a: str, b: str, short: dict[str, tuple[str, ...]], near: Callable[[str, str], bool]) -> float:
+    """Similarity of two different names in Chinese characters: by the characters whose sounds differ."""
+    a, b = heard(a, short), heard(b, short)
+    if a == b:
+        return SAME_SOUND
+    differ = sum(x != y for x, y in zip(a, b, strict=False))
+    return ONE_SOUND if len(a) == len(b) >= 3 and differ == 1 and near(a, b) else 0.0
+
+
 def names_alike(a: tuple[str, ...], b: tuple[str, ...], short: dict[str, tuple[str, ...]], near: Callable[[str, str], bool] = lambda x, y: True) -> float:
     """Similarity of two folded names in [0, 1]; 0 where a part contradicts.
 
     The surname is the first or the last part; two surnames must be ``near`` and within two slips. The given name is the
-    first of the rest, and must begin alike; middle names may be missing on one side, but must not contradict. Names
-    of one part are alike only if equal.
+    first of the rest, and must begin alike; middle names may be missing on one side, but must not contradict. Latin
+    names of one part are alike only if equal; names in Chinese characters are compared by their sounds.
     """
     if a == b:
         return 1.0
+    if len(a) == len(b) == 1 and HAN.search(a[0]) and HAN.search(b[0]):
+        return characters_alike(a[0], b[0], short, near)
     best = 0.0
     for surname_a, rest_a in splits(a):
         for surname_b, rest_b in splits(b):
@@ -152,14 +178,31 @@ def names_alike(a: tuple[str, ...], b: tuple[str, ...], short: dict[str, tuple[s
 
 
 def grams(part: str) -> list[str]:
-    """The three-letter n-grams of a part with its ends."""
+    """The three-letter n-grams of a part with its ends; of Chinese characters each and each two, with their position."""
+    if HAN.search(part):
+        return [f"{i}{part[i : i + n]}" for n in (1, 2) for i in range(len(part) - n + 1)]
     whole = f"^{part}$"
     return sorted({whole[i : i + 3] for i in range(len(whole) - 2)})
 
 
 def slot(gram: str) -> int:
-    """Hash slot of a feature."""
-    return xxhash.xxh32_intdigest(gram) % SLOTS
+    """Hash slot of a feature; those of Chinese characters have slots of their own behind the others."""
+    return xxhash.xxh32_intdigest(gram) % SLOTS + (SLOTS if HAN.search(gram) else 0)
+
+
+def surnames(form: tuple[str, ...], short: dict[str, tuple[str, ...]]) -> list[tuple[str, set[str]]]:
+    """What of a name becomes vectors, each with the letters that a partner's given name may begin with.
+
+    Each possible surname; a name in Chinese characters as a whole by its sounds, with no letter asked.
+    """
+    if len(form) == 1 and HAN.search(form[0]):
+        return [(heard(form[0], short), {""})]
+    return [(s, begins(rest[0], short)) for s, rest in splits(form)]
+
+
+def other_forms(others: list | None) -> dict[str, tuple[str, ...]]:
+    """The other forms of a node's parts as a dict."""
+    return {x["key"]: tuple(x["value"]) for x in others} if others is not None else {}
 
 
 def spellings(attempts: DataFrame, ref: str = "student_ref", name: str = "student_name", block: str = "class_id") -> DataFrame:
@@ -221,50 +264,78 @@ def same_characters(names: DataFrame, share: int = CHARACTER_SHARE) -> dict[str,
     return {c: find(c) for c in list(root)}
 
 
+def readings(spark: SparkSession, chars: list[str]) -> dict[str, str]:
+    """The Mandarin reading of each character without its tone, by the ICU library that Spark brings along.
+
+    A character without a reading stands for itself.
+    """
+    latin = spark.sparkContext._jvm.com.ibm.icu.text.Transliterator.getInstance("Han-Latin").transliterate("\n".join(chars)).split("\n")
+    return {c: unicodedata.normalize("NFC", unicodedata.normalize("NFD", x.strip()).translate(TONES)) for c, x in zip(chars, latin, strict=True)} if chars else {}
+
+
+def same_sounds(names: DataFrame) -> dict[str, str]:
+    """For each Chinese character of the names the first of its reading; bounded by the number of characters."""
+    han = names.select(F.explode("parts").alias("name")).where(F.col("name").rlike(HAN_SQL))
+    chars = sorted(r["char"] for r in han.select(F.explode(F.expr("transform(sequence(1, length(name)), i -> substring(name, i, 1))")).alias("char")).distinct().collect())
+    first: dict[str, str] = {}
+    return {c: first.setdefault(sound, c) for c, sound in readings(names.sparkSession, chars).items()}
+
+
 def nodes(names: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The distinct students-to-be: (node, block, forms, others), and the membership (ref, node).
 
     A ref keeps its fullest forms: those with the most parts of more than one letter. Characters typed for one another
     count as the first of their group. Refs of one block with the same forms are one node, named by the least ref.
-    ``others`` maps the parts of the forms to their other forms.
+    ``others`` maps the parts of the forms to their other forms, names in Chinese characters to their sounds.
     """
     spark = names.sparkSession
-    same = spark.sparkContext.broadcast(same_characters(names))
+    same, sounds = spark.sparkContext.broadcast(same_characters(names)), spark.sparkContext.broadcast(same_sounds(names))
 
     @F.pandas_udf("array<string>")
     def unified(parts: pd.Series) -> pd.Series:
         leader = same.value
         return pd.Series([["".join(leader.get(c, c) for c in p) if HAN.search(p) else p for p in ps] for ps in parts], dtype=object)
 
+    @F.pandas_udf("string")
+    def spoken(parts: pd.Series) -> pd.Series:
+        first = sounds.value
+        return pd.Series(["".join(first.get(c, c) for c in p) for p in parts], dtype=object)
+
     forms = names.select("ref", "block", unified("parts").alias("parts")).distinct().withColumn("full", F.size(F.filter("parts", lambda p: F.length(p) > 1)))
     most = forms.groupBy("ref").agg(F.max("full").alias("most"))
     kept = forms.join(most, "ref").where("full = most").groupBy("ref", "block").agg(F.sort_array(F.collect_set("parts")).alias("forms"))
     kept = checkpointed(kept)
     heads = kept.groupBy("block", "forms").agg(F.min("ref").alias("node"))
     members = kept.join(heads, ["block", "forms"]).select("ref", "node")
-    parts = heads.select("node", F.explode(F.array_distinct(F.flatten("forms"))).alias("part")).join(short_forms(names), "part").groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("part", "others"))).alias("others"))
+    each = heads.select("node", F.explode(F.array_distinct(F.flatten("forms"))).alias("part"))
+    han = each.where(F.col("part").rlike(HAN_SQL)).select("node", "part", F.array(spoken("part")).alias("others"))
+    parts = each.join(short_forms(names), "part").select("node", "part", "others").unionByName(han).groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("part", "others"))).alias("others"))
     return checkpointed(heads.join(parts, "node", "left").select("node", "block", "forms", "others")), members
 
 
 def gram_weights(heads: DataFrame) -> np.ndarray:
-    """Weight of each hash slot: the log of how rare its n-grams are among all possible surnames. Its size is fixed."""
+    """Weight of each hash slot: the log of how rare its n-grams are among all possible surnames. Its size is fixed.
+
+    Names in Chinese characters are counted among themselves, in the second half.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = np.zeros(SLOTS + 1, dtype=np.int64)
+        seen = np.zeros(2 * SLOTS + 2, dtype=np.int64)
         for batch in batches:
-            for forms in batch["forms"]:
-                for surname in (s for form in forms for s, _ in splits(tuple(form))):
-                    seen[SLOTS] += 1
+            for forms, others in zip(batch["forms"], batch["others"], strict=True):
+                short = other_forms(others)
+                for surname in (x for form in forms for x, _ in surnames(tuple(form), short)):
+                    seen[2 * SLOTS + bool(HAN.search(surname))] += 1
                     for g in grams(surname):
                         seen[slot(g)] += 1
         at = np.flatnonzero(seen)
         yield pd.DataFrame({"slot": at, "n": seen[at]})
 
-    counts = np.zeros(SLOTS + 1)
-    for r in heads.select("forms").mapInPandas(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+    counts = np.zeros(2 * SLOTS + 2)
+    for r in heads.select("forms", F.map_entries("others").alias("others")).mapInPandas(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
         counts[r["slot"]] = r["n"]
-    whole = counts[SLOTS]
-    return np.log1p(whole / np.maximum(counts[:SLOTS], max(1.0, whole / RAREST)))
+    whole = np.repeat(counts[2 * SLOTS :], SLOTS)
+    return np.log1p(whole / np.maximum(counts[: 2 * SLOTS], np.maximum(1.0, whole / RAREST)))
 
 
 def vector(surname: str, weights: np.ndarray) -> dict[str, float]:
@@ -290,7 +361,7 @@ def index_keys(form: tuple[str, ...], short: dict[str, tuple[str, ...]], weights
 
     A name that has no surname to split off has itself as its key.
     """
-    keys = {(f"{g}{letter}", surname) for surname, rest in splits(form) for g in index_grams(vector(surname, weights), cosine) for letter in begins(rest[0], short)}
+    keys = {(f"{g}{letter}", surname) for surname, letters in surnames(form, short) for g in index_grams(vector(surname, weights), cosine) for letter in letters}
     whole = " ".join(form)
     return keys or {(f"={whole}", whole)}
 
@@ -313,14 +384,15 @@ def links(heads: DataFrame, cosine: float = COSINE) -> DataFrame:
         for batch in batches:
             out = []
             for node, block, forms, others in zip(batch["node"], batch["block"], batch["forms"], batch["others"], strict=True):
-                short = {x["key"]: tuple(x["value"]) for x in others} if others is not None else {}
+                short = other_forms(others)
                 out += [(node, block, *k) for k in set().union(*(index_keys(tuple(f), short, sent.value, cosine) for f in forms))]
             yield pd.DataFrame(out, columns=["node", "block", "key", "surname"])
 
     rows = checkpointed(heads.select("node", "block", "forms", F.map_entries("others").alias("others")).mapInPandas(index, "node string, block string, key string, surname string"))
     met = rows.select("block", "key", F.col("node").alias("a"), F.col("surname").alias("x")).join(rows.select("block", "key", F.col("node").alias("b"), F.col("surname").alias("y")), ["block", "key"]).where("a < b")
-    # two slips are at most four edits, a swap being two: most pairs of a common n-gram end here, inside the JVM
-    pairs = met.where(F.levenshtein("x", "y", 4) >= 0).select("a", "b").distinct()
+    # two slips are at most four edits, a swap being two, and of Chinese characters one may differ: most pairs of a common
+    # n-gram end here, inside the JVM
+    pairs = met.where(F.when(F.col("x").rlike(HAN_SQL), F.levenshtein("x", "y", 1) >= 0).otherwise(F.levenshtein("x", "y", 4) >= 0)).select("a", "b").distinct()
     side = lambda name: heads.select(F.col("node").alias(name), F.col("forms").alias(f"forms_{name}"), F.map_entries(F.col("others")).alias(f"others_{name}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
 
@@ -330,7 +402,7 @@ def links(heads: DataFrame, cosine: float = COSINE) -> DataFrame:
         of = lru_cache(maxsize=50_000)(lambda surname: vector(surname, weights))
         near = lambda x, y: cosine_of(of(x), of(y)) >= cosine
         for fa, fb, oa, ob in zip(forms_a, forms_b, others_a, others_b, strict=True):
-            short = {x["key"]: tuple(x["value"]) for o in (oa, ob) if o is not None for x in o}
+            short = other_forms(oa) | other_forms(ob)
             out.append(max(names_alike(tuple(a), tuple(b), short, near) for a in fa for b in fb))
         return pd.Series(out)
 

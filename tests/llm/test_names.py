@@ -40,6 +40,21 @@ def test_students_of_classes(spark):
     assert pairs(spark, []) == set() and pairs(spark, [("s1", "c", None)]) == set()
 
 
+def test_characters_that_no_ref_carries_both_of(spark):
+    rows = [
+        ("s1", "c", "谢择凡"), ("s2", "c", "謝泽帆"), ("s3", "c", "谢月华"), ("s4", "c", "谢月琪"), ("s5", "d", "谢择凡"), ("s6", "c", "吕凡"), ("s7", "c", "路凡"),
+        ("t1", "e", "孙小末"), ("t1", "e", "孙小未"), ("t2", "e", "孙小末"), ("t3", "e", "孙小未"),
+    ]
+    assert pairs(spark, rows) == {("s1", "s2"), *combinations(["t1", "t2", "t3"], 2)}
+
+
+def test_characters_alike():
+    sounds = {"谢择凡": ("谢择凡",), "謝泽帆": ("谢择凡",)}
+    assert names.names_alike(("谢择凡",), ("謝泽帆",), sounds) == names.SAME_SOUND >= names.LINKED
+    assert 0 < names.names_alike(("谢择凡",), ("谢择文",), sounds) < names.LINKED
+    assert names.names_alike(("谢择凡",), ("谢月文",), sounds) == names.names_alike(("谢择",), ("谢文",), sounds) == 0
+
+
 def test_average_linkage_against_one_merge_at_a_time(spark):
     import random
 
