@@ -25,7 +25,7 @@ def main(arguments: list[str]) -> int:
     spark = SparkSession.builder.appName("markwise").getOrCreate()
     try:
         if given.command == "report":
-            print(report.write(report.render(class_report.report_model(spark, given.folder, given.class_id)), given.out)["report"])
+            print(report.write(report.render(class_report.report_model(spark, given.folder, given.class_id, rows_to=f"{given.out}.rows")), given.out)["report"])
         else:
             known = exam_queries.queries() | data_queries.queries()
             if given.name not in known:

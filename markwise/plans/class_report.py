@@ -11,23 +11,44 @@ from markwise.plans.exam_views import attempts, placed, questions
 from markwise.sources.report import VIEW
 
 
-def report_model(spark: SparkSession, folder: str, class_id: str, organization_id: str = "", most: int = 50) -> dict:
-    """The report of one class. Only rolled-up rows reach the driver: one per question or tag, and ``most`` students."""
+#: Rows of one list that a page holds where the whole list is written beside it.
+PAGE = 20_000
+
+
+def report_lists(spark: SparkSession, folder: str, rows: DataFrame) -> dict[str, DataFrame]:
+    """The lists of the report over the responses of one class, whole and in their order."""
+    named = lambda df, kind: df.withColumn("label", labels.label(kind, F.col("name"), F.col("name"))).orderBy(F.desc("n"), "name")
+    answered = rows.select("question_id").distinct()
+    waiting = rows.where(F.col("review_status").isin("needs_review", "provisional"))
+    return {
+        "knowledge_distribution": named(statistics.tag_distribution(rows, "knowledge"), "knowledge"),
+        "error_distribution": named(statistics.error_distribution(rows), "error"),
+        "priority_questions": statistics.question_insight(questions(spark, folder).join(answered, "question_id", "left_semi"), rows).orderBy("position"),
+        "student_summaries": statistics.student_summary(rows).orderBy(F.asc_nulls_last("score_rate"), F.desc("incorrect"), "student_ref"),
+        "review_items": waiting.select("question_id", "student_ref", "attempt_id", "response_id", "score", "max_score", "review_status").orderBy("question_id", "student_ref", "attempt_id", "response_id"),
+    }
+
+
+def report_model(spark: SparkSession, folder: str, class_id: str, organization_id: str = "", rows_to: str | None = None, page: int = PAGE) -> dict:
+    """The report of one class, its lists whole.
+
+    Where ``rows_to`` names a folder, a list of more than ``page`` rows is written there whole, as Parquet, and the model
+    holds its first ``page`` rows and a note that says so; without a folder all rows come to the driver.
+    """
     rows = placed(spark, folder, "is_correct", "review_status", "error_tags").where(F.col("class_id") == class_id).persist()
     try:
-        got = statistics.overall(rows).first()
-        mine = attempts(spark, folder).where(F.col("class_id") == class_id)
-        named = lambda df, kind, top: [r.asDict() for r in df.withColumn("label", labels.label(kind, F.col("name"), F.col("name"))).orderBy(F.desc("n"), "name").limit(top).collect()]
-        answered = rows.select("question_id").distinct()
-        priority = statistics.question_insight(questions(spark, folder).join(answered, "question_id", "left_semi"), rows).orderBy("position").limit(most)
-        students = statistics.student_summary(rows).orderBy(F.asc_nulls_last("score_rate"), F.desc("incorrect"), "student_ref").limit(most)
-        waiting = rows.where(F.col("review_status").isin("needs_review", "provisional")).groupBy("question_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "question_id").limit(most)
-        questions_first = [r.asDict() for r in priority.collect()]
+        lists, notes = {}, []
+        for name, df in report_lists(spark, folder, rows).items():
+            got = (df if rows_to is None else df.limit(page + 1)).collect()
+            if rows_to is not None and len(got) > page:
+                df.write.mode("overwrite").parquet(f"{rows_to}/{name}")
+                got = got[:page]
+                notes.append(f"{name}: 此处为前 {page} 行，全部 {df.count()} 行见 {rows_to}/{name}")
+            lists[name] = [r.asDict() for r in got]
         model = {
             "view_schema_version": VIEW, "title": "错题分析报告", "organization_id": organization_id, "analysis_id": class_id, "subject": "", "grade": "", "curriculum_version": None,
-            "student_count": mine.count(), "class_count": 1, "metrics": got.asDict(), "knowledge_distribution": named(statistics.tag_distribution(rows, "knowledge"), "knowledge", most),
-            "error_distribution": named(statistics.error_distribution(rows), "error", most), "priority_questions": questions_first, "student_summaries": [r.asDict() for r in students.collect()],
-            "review_items": [r.asDict() for r in waiting.collect()], "taxonomy_candidates": [], "teaching_actions": [f"先讲 {q['question_id']}" for q in questions_first[:3] if q["incorrect"]], "notes": [],
+            "student_count": attempts(spark, folder).where(F.col("class_id") == class_id).count(), "class_count": 1, "metrics": statistics.overall(rows).first().asDict(), **lists, "taxonomy_candidates": [],
+            "teaching_actions": [f"先讲 {q['question_id']}" for q in lists["priority_questions"][:3] if q["incorrect"]], "notes": notes,
         }
         return model | {"document_state_hash": hashing.digest(model)}
     finally:

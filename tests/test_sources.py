@@ -55,6 +55,21 @@ def test_report(spark, data, tmp_path):
         report.render(model, report.TEMPLATE + " ")
 
 
+def test_report_lists_are_whole(spark, data, tmp_path):
+    rows = placed(spark, data).where("class_id is not null").select("class_id", "question_id", "student_ref", "response_id", "review_status").toPandas()
+    chosen = rows.groupby("class_id")["question_id"].nunique().idxmax()
+    mine = rows[rows["class_id"] == chosen]
+    waiting = mine[mine["review_status"].isin(["needs_review", "provisional"])]
+    model = report_model(spark, data, chosen)
+    assert len(model["priority_questions"]) == mine["question_id"].nunique() > 50
+    assert len(model["student_summaries"]) == mine["student_ref"].fillna("").nunique()
+    assert {x["response_id"] for x in model["review_items"]} == set(waiting["response_id"]) and len(model["review_items"]) == len(waiting)
+    paged = report_model(spark, data, chosen, rows_to=str(tmp_path / "rows"), page=50)
+    assert paged["priority_questions"] == model["priority_questions"][:50] and any("priority_questions" in note for note in paged["notes"])
+    assert spark.read.parquet(str(tmp_path / "rows" / "priority_questions")).count() == len(model["priority_questions"])
+    assert report.faults(paged) == report.faults(model) == [] and report.render(model)
+
+
 def test_command_line(spark, data, tmp_path, capsys):
     assert cli.main(["query", data, "class_summary", str(tmp_path / "out")]) == 0
     assert spark.read.parquet(str(tmp_path / "out")).count() > 0
