@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: The field that takes what a group holds beside its wanted fields, as one JSON object.
+REST = "(rest)"
 TRIPLE = "record string, grp string, ordinals array<int>, field string, value string"
 
 
@@ -57,7 +59,8 @@ def walk(node: dict, path: str, ordinals: tuple[int, ...], repeated: frozenset[s
         for field, value in held:
             yield path, ordinals, field, value
     below = (*held, *((k, spelled(node.get(k))) for k in keys.get(path, ())))
-    stack = [(node, "")]
+    stack, rest = [(node, "")], {}
+    fields = wanted[path] if mine and wanted is not None else frozenset()
     while stack:
         part, prefix = stack.pop()
         for key, value in part.items():
@@ -67,19 +70,23 @@ def walk(node: dict, path: str, ordinals: tuple[int, ...], repeated: frozenset[s
                 for i, child in enumerate(as_list(value)):
                     if isinstance(child, dict):
                         yield from walk(child, at, (*ordinals, i), repeated, keys, wanted, below)
-            elif isinstance(value, dict):
+            elif isinstance(value, dict) and field not in fields and (value or REST not in fields):
                 stack.append((value, field + "."))
-            elif mine and (wanted is None or field in wanted[path]):
+            elif mine and (wanted is None or field in fields):
                 yield path, ordinals, field, spelled(value)
+            elif REST in fields:
+                rest[field] = value
+    if rest:
+        yield path, ordinals, REST, spelled(dict(sorted(rest.items())))
 
 
 def triples(df: DataFrame, record: str, payload: str, repeated: list[str], keys: dict[str, list[str]], wanted: dict[str, list[str]] | None = None) -> DataFrame:
     """Triples of every record: record, grp (path of the repeated ancestor, '' for the record), ordinals, field, value.
 
     ``repeated`` are the paths that hold many objects; ``keys`` names per group the fields that all groups below
-    inherit; ``wanted`` limits the output to some fields of some groups. A payload that is null or not one complete
+    inherit; ``wanted`` limits the output to some fields of some groups, of which ``REST`` takes all others. A payload that is null or not one complete
     JSON object gives nothing. Null entries of a list keep their ordinal and give nothing. An object inside a plain
-    object is read as dotted fields; a list that is not in ``repeated`` is a value, kept as JSON.
+    object is read as dotted fields unless it is a wanted field itself; a list that is not in ``repeated`` is a value, kept as JSON.
     """
     many, inherit = frozenset(repeated), {k: tuple(v) for k, v in keys.items()}
     only = None if wanted is None else {k: frozenset(v) for k, v in wanted.items()}
@@ -111,24 +118,30 @@ def pivoted(parts: DataFrame, group: str, levels: list[str], fields: list[str])
     return grouped.select("record", *[F.get("ordinals", F.lit(i)).alias(name) for i, name in enumerate(levels)], *[F.col(f"`{f}`") for f in fields])
 
 
-CLASS_LISTS = ["attempts", "attempts.responses", "attempts.responses.evidence"]
+POSITIONS = {"attempts": "attempt_pos", "attempts.responses": "response_pos", "attempts.responses.evidence": "evidence_pos", "attempts.responses.error_tags": "tag_pos", "paper.questions": "question_pos", "review_queue": "review_pos"}
+CLASS_LISTS = list(POSITIONS)
 CLASS_KEYS = {"attempts": ["attempt_id"], "attempts.responses": ["question_id"]}
-POSITIONS = ["attempt_pos", "response_pos", "evidence_pos"]
 CLASS_FIELDS = {
-    "attempts": ["attempt_id", "class_id", "student_ref", "submitted_at"],
-    "attempts.responses": ["attempt_id", "question_id", "raw_ocr_text", "normalized_answer", "score", "confidence.ocr", "confidence.grading", "review_status"],
-    "attempts.responses.evidence": ["attempt_id", "question_id", "evidence_id", "observed", "explanation", "causal_role", "step", "confidence", "source.document_id", "source.page"],
+    "": ["schema_version", "organization_id", "analysis_id", "created_at", "paper.paper_id", "paper.subject", REST],
+    "attempts": ["attempt_id", "class_id", "student_ref", "submitted_at", REST],
+    "attempts.responses": ["attempt_id", "question_id", "raw_ocr_text", "normalized_answer", "score", "confidence.ocr", "confidence.grading", "review_status", "teacher_review", REST],
+    "attempts.responses.evidence": ["attempt_id", "question_id", "evidence_id", "observed", "explanation", "causal_role", "step", "confidence", "source.document_id", "source.page", REST],
+    "attempts.responses.error_tags": ["attempt_id", "question_id", "dimension", "name", "confidence", "evidence_ids", REST],
+    "paper.questions": ["question_id", "max_score", "tags", REST],
+    "review_queue": ["attempt_id", "question_id", "reasons", REST],
 }
 
 
 def class_table(records: DataFrame, group: str, fields: list[str] | None = None) -> DataFrame:
-    """One flat table of the class records: ``attempts``, ``attempts.responses`` or ``attempts.responses.evidence``.
+    """One flat table of the class records: a group of ``CLASS_FIELDS``, '' being the record itself.
 
     Rows carry record_id, their positions in the lists as delivered, the ids of their parents and their own fields
-    (dots become underscores). Snapshots inside teacher_review are not evidence of the response and give no row.
+    (dots become underscores); ``rest`` holds all fields without a column as a JSON object, null if there are none. The
+    evidence_ids of an error tag name evidence of the same response. Snapshots inside teacher_review are not evidence
+    of the response and give no row; teacher_review is kept as JSON.
     """
     fields = fields or CLASS_FIELDS[group]
-    levels = POSITIONS[: group.count(".") + 1]
+    levels = [name for path, name in POSITIONS.items() if f"{group}.".startswith(f"{path}.")]
     parts = triples(records.where(F.col("record_id").isNotNull()), "record_id", "payload", CLASS_LISTS, CLASS_KEYS, {group: list(fields)})
     flat = pivoted(parts, group, levels, fields)
-    return flat.select(F.col("record").cast("bigint").alias("record_id"), *levels, *[F.col(f"`{f}`").alias(f.replace(".", "_")) for f in fields])
+    return flat.select(F.col("record").cast("bigint").alias("record_id"), *levels, *[F.col(f"`{f}`").alias("rest" if f == REST else f.replace(".", "_")) for f in fields])

@@ -44,6 +44,26 @@ def p2_evidence(spark: SparkSession, folder: str) -> DataFrame:
     return nested.class_table(table(spark, folder, "class_records"), "attempts.responses.evidence")
 
 
+def p2_error_tags(spark: SparkSession, folder: str) -> DataFrame:
+    """The flat table of error tags, linked to their response and, by evidence_ids, to its evidence."""
+    return nested.class_table(table(spark, folder, "class_records"), "attempts.responses.error_tags")
+
+
+def p2_records(spark: SparkSession, folder: str) -> DataFrame:
+    """The fields of the records themselves."""
+    return nested.class_table(table(spark, folder, "class_records"), "")
+
+
+def p2_questions(spark: SparkSession, folder: str) -> DataFrame:
+    """The flat table of the questions of the records' papers."""
+    return nested.class_table(table(spark, folder, "class_records"), "paper.questions")
+
+
+def p2_reviews(spark: SparkSession, folder: str) -> DataFrame:
+    """The flat table of the review queues."""
+    return nested.class_table(table(spark, folder, "class_records"), "review_queue")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """The exact moment of every attempt whose submitted_at names one."""
     return instants.moments(table(spark, folder, "attempts"), table(spark, folder, "org_settings"), "attempt_id", "submitted_at", "organization_id")
@@ -61,7 +81,7 @@ SELECT record_id, CAST(i AS INT) AS attempt_pos, CAST(j AS INT) AS response_pos,
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {f.__name__: f for f in (p1_found, p1_items, p2_found, p2_attempts, p2_responses, p2_evidence, p5_found)}
+    return {f.__name__: f for f in (p1_found, p1_items, p2_found, p2_attempts, p2_responses, p2_evidence, p2_error_tags, p2_records, p2_questions, p2_reviews, p5_found)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -34,6 +34,19 @@ def test_long_deep_and_empty_input(spark):
     assert class_table(spark.createDataFrame([], "record_id long, payload string"), EVIDENCE).count() == 0
 
 
+def test_no_field_is_lost(spark):
+    review = {"actor_ref": "t", "before": {"evidence": [{"evidence_id": "old"}]}}
+    response = {"question_id": "q", "error_tags": [None, {"name": "n", "evidence_ids": ["x"], "more": 1}], "teacher_review": review, "first_error_step": 2, "confidence": {"tagging": 0.5}, "none": {}}
+    text = json.dumps({"analysis_id": "z", "attempts": [{"attempt_id": "a", "responses": response}], "review_queue": [{"question_id": "q", "reasons": ["r"]}], "paper": {"grade": "g", "questions": [{"question_id": "q", "difficulty": "easy"}]}})
+    table = lambda group: [r.asDict() for r in class_table(spark.createDataFrame([(1, text)], "record_id long, payload string"), group).collect()]
+    [tag] = table("attempts.responses.error_tags")
+    assert (tag["attempt_pos"], tag["response_pos"], tag["tag_pos"], tag["attempt_id"], tag["question_id"], tag["name"], tag["evidence_ids"], tag["rest"]) == (0, 0, 1, "a", "q", "n", '["x"]', '{"more":1}')
+    [row] = table("attempts.responses")
+    assert json.loads(row["teacher_review"]) == review and json.loads(row["rest"]) == {"confidence.tagging": 0.5, "first_error_step": 2, "none": {}}
+    [top], [question], [queued] = table(""), table("paper.questions"), table("review_queue")
+    assert top["analysis_id"] == "z" and json.loads(top["rest"]) == {"paper.grade": "g"} and json.loads(question["rest"]) == {"difficulty": "easy"} and (queued["review_pos"], queued["reasons"]) == (0, '["r"]')
+
+
 def test_tables_are_linked(spark, data):
     from markwise.plans import data_queries as q
 
