@@ -36,10 +36,11 @@ EVENING = ("pm", "p.m.", "下午", "晚上", "中午")
 # Zone abbreviations with one meaning everywhere (RFC 822 and UTC), used where the zone itself has no such name.
 COMMON_ABBREVIATIONS = {"UTC": 0, "UT": 0, "GMT": 0, "Z": 0, "EST": -5, "EDT": -4, "CST": -6, "CDT": -5, "MST": -7, "MDT": -6, "PST": -8, "PDT": -7}
 
-#: Longer texts hold no moment; the longest notation here is about 70 characters.
+#: Texts that are longer without the blanks around them and without digits after the ninth of a fraction hold no moment; the longest notation here is about 70 characters.
 LONGEST = 120
 US = 1_000_000
 _SEP = "\u0001"
+_BLANKS = " \t\n\u000b\f\r\u200b\ufeff"
 _FULL_WIDTH = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　   −"
 _ORDINARY = "".join(chr(c) for c in range(0x21, 0x7F)) + "    -"
 
@@ -85,8 +86,9 @@ def _split(text: Column) -> Column:
     """Array of the components of ``text`` (empty where absent), of one element where no notation fits."""
     pattern, names = alternation()
     replacement = _SEP.join("".join(f"${{{g}}}" for g in names[part]) for part in PARTS)
-    trimmed = F.regexp_replace(F.translate(text, _FULL_WIDTH, _ORDINARY), r"\A[\s​﻿]+|[\s​﻿]+\z", "")
-    return F.split(F.regexp_replace(F.when((F.length(text) <= LONGEST) & ~F.contains(text, F.lit(_SEP)), trimmed), pattern, replacement), _SEP)
+    trimmed = F.btrim(F.translate(text, _FULL_WIDTH, _ORDINARY), F.lit(_BLANKS))
+    cut = F.regexp_replace(trimmed, r"([.,][0-9]{9})[0-9]+", "$1")  # finer than any moment here
+    return F.split(F.regexp_replace(F.when((F.length(cut) <= LONGEST) & ~F.contains(text, F.lit(_SEP)), cut), pattern, replacement), _SEP)
 
 
 def days_from_civil(year: Column, month: Column, day: Column) -> Column:
@@ -111,7 +113,7 @@ def with_instant(df: DataFrame, text: str, zone: str, day_first: str, out: str =
     else its RFC 822 meaning. Numeric dates that end with the year follow ``day_first``; two-digit years mean 1970 to
     2069. A local time that occurs twice means the earlier moment; one that the clock skipped has none.
 
-    Null: null, empty, blank or longer texts than ``LONGEST``; no notation fits; a date without time of day; a
+    Null: null, empty, blank or longer texts than ``LONGEST`` (blanks around them not counted); no notation fits; a date without time of day; a
     date, time or offset that does not exist; a local time without a known zone; a numeric year-last date with null
     ``day_first``; an unknown abbreviation. Fractions finer than a microsecond are cut. All other columns are kept;
     helper columns carry a prefix that no table uses.

@@ -108,3 +108,12 @@ def test_moments_lie_before_their_arrival(spark, data):
     found = moments(attempts, table(spark, data, "org_settings"), "attempt_id", "submitted_at", "organization_id")
     late = found.join(attempts, "attempt_id").where("submitted_us > unix_micros(cast(received_at as timestamp))")
     assert found.count() > 0.8 * attempts.select("attempt_id").distinct().count() and late.count() == 0
+
+
+def test_padding_and_long_fractions(spark):
+    from markwise.operators.instants import with_instant
+
+    texts = [" " * 200 + "2026-03-01 10:00:00Z" + "\u3000\t\ufeff" * 100, "2026-03-01T10:00:00.123456789012Z", "2026-03-01T10:00:00," + "1234567" * 100 + "Z", "1772359200.5000000000001", "2026-03-01 10:00:00Z" + " " * 200_000 + "x"]
+    frame = spark.createDataFrame([(i, t, "UTC", True) for i, t in enumerate(texts)], "id int, text string, zone string, day_first boolean")
+    at = 1_772_359_200_000_000
+    assert [r["instant_us"] for r in with_instant(frame, "text", "zone", "day_first").orderBy("id").collect()] == [at, at + 123456, at + 123456, at + 500000, None]
