@@ -6,6 +6,7 @@ import atexit
 import io
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -32,22 +33,62 @@ def local_session(cores: str = "*", partitions: int = 8, name: str = "markwise",
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back, so that its lineage ends there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``. A temporary one where one machine names none.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Where the session names none (tests on
-    one machine), a temporary folder is used.
+    The temporary folder goes when the driver ends.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if named is None and not context.master.startswith("local"):
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if named is None:
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="markwise-checkpoint-"))
+        named = tempfile.mkdtemp(prefix="markwise-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+        context.setCheckpointDir(named)
+    return named
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut at a checkpoint in the shared folder. Meant for small tables; see :func:`stored`."""
+    context = df.sparkSession.sparkContext
+    folder = shared_folder(df.sparkSession)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
+_STORED: dict[str, list[str]] = {}
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder as a Parquet table and read back: compressed, and read by column.
+
+    The table stays until :func:`released` or the end of the driver, since any later action may read it.
+    """
+    spark = shipped(df.sparkSession)
+    path = f"{shared_folder(spark).rstrip('/')}/markwise-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    application = spark.sparkContext.applicationId
+    if application not in _STORED:
+        atexit.register(released, spark)
+    _STORED.setdefault(application, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def released(spark: SparkSession) -> int:
+    """Deletes the tables that :func:`stored` has written for this application; how many there were.
+
+    For drivers that run on: call it when the results that read the tables have been written.
+    """
+    paths = _STORED.pop(spark.sparkContext.applicationId, []) if spark.sparkContext._jsc is not None else []
+    jvm, configuration = spark._jvm, spark.sparkContext._jsc
+    for path in paths:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(configuration.hadoopConfiguration()).delete(folder, True)
+    return len(paths)
+
+
 _SHIPPED: set[str] = set()
 
 
