@@ -74,5 +74,24 @@ def test_the_test_data_by_brute_force(spark, data):
     assert len(shares) == len(rows) and sum(r["shared_chars"] for r in shares.values()) == sum(f[2] for f in found)
 
 
-def test_lines_equal_their_sql(spark, data):
-    same(queries.p8_lines(spark, data), views(data), queries.oracle_sql()["p8_lines"])
+@pytest.mark.parametrize("name", ["p8_lines", "p8_clean", "p8_found", "p8_shares"])
+def test_queries_equal_their_sql(spark, data, name):
+    same(queries.queries()[name](spark, data), views(data), queries.oracle_sql()[name])
+
+
+@pytest.mark.parametrize("least", [3, 10])
+def test_fingerprints_of_many_surroundings(spark, monkeypatch, least):
+    monkeypatch.setattr(spans, "FEW", 1)
+    rng = random.Random(least)
+    passages = ["".join(rng.choice("ab的") for _ in range(rng.randint(5, 30))) for _ in range(4)]
+    rows = list(enumerate("".join(rng.choice([*passages, rng.choice("xyz") * rng.randint(0, 9)]) for _ in range(rng.randint(0, 5))) for _ in range(40)))
+    assert got(spark, rows, least) == sorted(brute(rows, least))
+
+
+def test_lines_without_repeats(spark):
+    long = "a line that is long enough to be compared"
+    rows = [(1, f"{long}\nx\n"), (2, f"x\n\u3000{long}\r\ny"), (3, None), (4, ""), (5, long)]
+    frame = spark.createDataFrame([(d, t, "e") for d, t in rows], "doc_id long, text string, line string")
+    got_ = {r["doc_id"]: tuple(r)[1:] for r in spans.without_repeats(frame, spans.line_units(frame)).collect()}
+    assert got_ == {1: (rows[0][1], 3, 0, ""), 2: ("x\ny", 2, 1, "2:43"), 3: (None, None, 0, ""), 4: ("", 1, 0, ""), 5: ("", 0, 1, "0:41")}
+    assert spans.line_units(spark.createDataFrame([], "doc_id long, text string")).count() == 0
