@@ -13,13 +13,13 @@ from markwise.sources.tables import table
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every change of every export file against the file before it in its feed."""
-    return drift.changes(drift.fields_of(table(spark, folder, "export_lines")))
+    return drift.changes(drift.delivered(table(spark, folder, "export_lines")))
 
 
 def p1_items(spark: SparkSession, folder: str) -> DataFrame:
     """All exported items in one consistent typed table; the rescue column as sorted JSON."""
-    parsed = drift.fields_of(table(spark, folder, "export_lines"), values=True)
-    items = drift.consistent(parsed, drift.changes(parsed))
+    lines = drift.delivered(table(spark, folder, "export_lines"))
+    items = drift.consistent(lines, drift.changes(lines))
     return drift.replay(items, "scanner_model", "string", ("scanner_model",)).withColumn("rescued", F.to_json("rescued"))
 
 

@@ -18,7 +18,7 @@ def lines(spark, files, extra=()):
 
 
 def found(spark, frame):
-    return sorted(map(tuple, drift.changes(drift.fields_of(frame)).collect()))
+    return sorted(map(tuple, drift.changes(drift.delivered(frame)).collect()))
 
 
 def item(i, **fields):
@@ -110,8 +110,8 @@ def test_the_test_data_by_brute_force(spark, data):
 def test_consistent_table_and_replay(spark):
     one = [item(i, confidence={"ocr": 0.5 + i / 100}, score="3", scanner="SX") for i in range(30)]
     two = [item(i, ocr_conf=str(0.5 + i / 100), score=4 if i != 12 else "none", scanner="SX") for i in range(10, 40)]
-    parsed = drift.fields_of(lines(spark, {("1", 1): one, ("1", 2): two}), values=True)
-    items = drift.consistent(parsed, drift.changes(parsed))
+    lines_ = drift.delivered(lines(spark, {("1", 1): one, ("1", 2): two}))
+    items = drift.consistent(lines_, drift.changes(lines_))
     rows = {r["attempt_id"]: r for r in items.collect()}
     assert len(rows) == 40 and rows["a35"]["ocr_confidence"] == 0.85 and rows["a5"]["ocr_confidence"] == 0.55
     assert rows["a5"]["score"] == 3.0 and rows["a11"]["score"] == 4.0 and rows["a12"]["score"] is None
@@ -124,3 +124,13 @@ def test_values_compare_across_types():
     same = drift.comparable
     assert same(5) == same(5.0) == same("5") == same([5]) == same("5.00") and same(True) == same("true") == same(1)
     assert same(None) is None and same([]) == "[]" and same("x") != same("X") and same("1e400") == "1e400"
+
+
+def test_nothing_is_lost_where_paths_of_one_column_meet(spark):
+    one = [item(1, confidence={"ocr": 0.9}, ocr_confidence=0.2, normalized_answer="A", student_answer="B"), item(2, score=3, is_correct="maybe"), item(3, score=[7])]
+    two = [item(1, confidence={"ocr": None}), item(2, score=None), item(3, score="1e999")]
+    lines_ = drift.delivered(lines(spark, {("1", 1): one, ("1", 2): two}))
+    rows = {r["attempt_id"]: r for r in drift.consistent(lines_, spark.createDataFrame([], "file_id long, change string, old_path string, new_path string")).collect()}
+    assert (rows["a1"]["ocr_confidence"], rows["a1"]["answer"], rows["a1"]["rescued"]) == (0.9, "A", {"ocr_confidence": "0.2", "student_answer": '"B"'})
+    assert (rows["a2"]["score"], rows["a2"]["is_correct"], rows["a2"]["rescued"]) == (3.0, None, {"is_correct": '"maybe"'})
+    assert (rows["a3"]["score"], rows["a3"]["rescued"]) == (None, {"score": '"1e999"'})
