@@ -80,7 +80,7 @@ def comparable(value: object) -> str | None:
     text = spelled(value).strip()
     if text.lower() in ("true", "false"):
         return "1" if text.lower() == "true" else "0"
-    if len(text) < 40:
+    if len(text) < 40 and (text[:1].isdigit() or text[:1] in ("+", "-", ".")):
         try:
             number = Decimal(text)
             if number.is_finite() and abs(number.adjusted()) < 40:
@@ -117,6 +117,20 @@ def delivered(lines: DataFrame) -> DataFrame:
 _KINDS = {str: "string", int: "number", float: "number", bool: "boolean", list: "array", type(None): "null"}
 
 
+def _shape(node: dict) -> tuple[str, ...]:
+    """Paths and types of an object's leaves in turn."""
+    out: list[str] = []
+    stack = [(node, "")]
+    while stack:
+        part, at = stack.pop()
+        for key, value in part.items():
+            if isinstance(value, dict):
+                stack.append((value, f"{at}{key}."))
+            else:
+                out += (at + key if at else key, _KINDS[type(value)])
+    return tuple(out)
+
+
 def field_counts(lines: DataFrame) -> DataFrame:
     """feed, seq, file_id, path, type, n: how many lines of a file hold a path with a type; a null path counts the lines.
 
@@ -132,10 +146,10 @@ def field_counts(lines: DataFrame) -> DataFrame:
                 if whole:
                     seen[feed, seq, file_id, None] += 1
                     if isinstance(node, dict):
-                        seen[feed, seq, file_id, tuple((path, _KINDS[type(value)]) for path, value in _leaves(node))] += 1
+                        seen[feed, seq, file_id, _shape(node)] += 1
             rows: Counter = Counter()
             for (feed, seq, file_id, shape), n in seen.items():  # few shapes of lines per file
-                for path, kind in ((None, None),) if shape is None else shape:
+                for path, kind in ((None, None),) if shape is None else zip(shape[::2], shape[1::2], strict=True):
                     rows[feed, seq, file_id, path if path is None else spelled(path), kind] += n
             if rows:
                 feed, seq, file_id, path, kind = zip(*rows, strict=True)
@@ -227,10 +241,11 @@ def changes(lines: DataFrame) -> DataFrame:
     rescued = F.col("state") == "rescued"
     moved = state.where("state <> 'known'").select(F.when(rescued, F.col("file_id")).otherwise(F.col("before")).alias("at"), "file_id", "path", rescued.alias("rescued"))
     values = moved_values(lines, moved).groupBy("file_id", "item", "path", "rescued").agg(F.min("same").alias("same"))
-    last = values.where("not rescued").select("file_id", "item", F.col("path").alias("old_path"), F.col("same").alias("a"))
-    came = values.where("rescued").select("file_id", "item", F.col("path").alias("new_path"), F.col("same").alias("b"))
+    side = lambda mine: F.collect_list(F.when(mine, F.struct("path", "same")))
+    of_item = values.groupBy("file_id", "item").agg(side(~F.col("rescued")).alias("last"), side(F.col("rescued")).alias("came"))  # the moved fields of one item
     matches = (
-        last.join(came, ["file_id", "item"])
+        of_item.select("file_id", "came", F.explode("last").alias("o")).select("file_id", "o", F.explode("came").alias("n"))
+        .select("file_id", F.col("o.path").alias("old_path"), F.col("o.same").alias("a"), F.col("n.path").alias("new_path"), F.col("n.same").alias("b"))
         .groupBy("file_id", "old_path", "new_path")
         .agg(
             F.count_if(F.col("a").isNotNull() | F.col("b").isNotNull()).alias("valued"),
@@ -239,7 +254,7 @@ def changes(lines: DataFrame) -> DataFrame:
         )
         .where(F.col("equal") >= F.col("valued") * CARRIED)
         .where("equal > 0")
-    )
+    )
     ranked = matches.repartition("file_id").sortWithinPartitions("file_id", F.desc("kinds"), F.desc(F.col("equal") / F.col("valued")), F.desc("equal"), "old_path", "new_path")
     renamed = checkpointed(ranked.select("file_id", "old_path", "new_path").mapInPandas(_assign, "file_id long, old_path string, new_path string"))
 

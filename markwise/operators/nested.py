@@ -22,7 +22,7 @@ TRIPLE = "record string, grp string, ordinals array<int>, field string, value st
 def complete(text: object) -> object | None:
     """The value of a complete JSON text, else None. NaN and Infinity are no JSON; too deep nesting counts as incomplete."""
     try:
-        return json.loads(text, parse_constant=_refuse)
+        return _DECODER.decode(text)
     except (ValueError, RecursionError, TypeError):
         return None
 
@@ -31,6 +31,10 @@ def _refuse(name: str) -> object:
     raise ValueError(name)
 
 
+_DECODER = json.JSONDecoder(parse_constant=_refuse)
+_COMPACT = json.JSONEncoder(ensure_ascii=False, separators=(",", ":")).encode
+
+
 def as_list(value: object) -> list:
     """A repeated part as delivered: a list, a lone object, or the JSON text of either; anything else holds nothing."""
     if isinstance(value, str):
@@ -44,8 +48,8 @@ def spelled(value: object) -> str | None:
     """A leaf as text: strings as they are, everything else as compact JSON; None for null. Half surrogate pairs become U+FFFD."""
     if value is None:
         return None
-    text = value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
-    return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    text = value if isinstance(value, str) else _COMPACT(value)
+    return text if text.isascii() else text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
 def walk(node: dict, path: str, ordinals: tuple[int, ...], repeated: frozenset[str], keys: dict[str, tuple[str, ...]], wanted: dict[str, frozenset[str]] | None, held: tuple) -> Iterator[tuple]:
