@@ -134,26 +134,32 @@ def _shape(node: dict) -> tuple[str, ...]:
 def field_counts(lines: DataFrame) -> DataFrame:
     """feed, seq, file_id, path, type, n: how many lines of a file hold a path with a type; a null path counts the lines.
 
-    Only complete JSON counts; a complete value that is no object has no fields. Counts are added up inside each Arrow
-    batch, so a few rows per file leave a partition.
+    Only complete JSON counts; a complete value that is no object has no fields. Counts are added up inside each
+    task, so a few rows per file leave a partition.
     """
 
+    def flushed(seen: Counter) -> pa.RecordBatch:
+        rows: Counter = Counter()
+        for (feed, seq, file_id, shape), n in seen.items():  # few shapes of lines per file
+            for path, kind in ((None, None),) if shape is None else zip(shape[::2], shape[1::2], strict=True):
+                rows[feed, seq, file_id, path if path is None else spelled(path), kind] += n
+        columns = [*zip(*rows, strict=True), list(rows.values())] if rows else [[]] * 6
+        kinds = (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64())
+        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["feed", "seq", "file_id", "path", "type", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
         for batch in batches:
-            seen: Counter = Counter()
             for feed, seq, file_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 whole, node = _whole(text)
                 if whole:
                     seen[feed, seq, file_id, None] += 1
                     if isinstance(node, dict):
                         seen[feed, seq, file_id, _shape(node)] += 1
-            rows: Counter = Counter()
-            for (feed, seq, file_id, shape), n in seen.items():  # few shapes of lines per file
-                for path, kind in ((None, None),) if shape is None else zip(shape[::2], shape[1::2], strict=True):
-                    rows[feed, seq, file_id, path if path is None else spelled(path), kind] += n
-            if rows:
-                feed, seq, file_id, path, kind = zip(*rows, strict=True)
-                yield pa.record_batch([pa.array(feed, pa.string()), pa.array(seq, pa.int32()), pa.array(file_id, pa.int64()), pa.array(path, pa.string()), pa.array(kind, pa.string()), pa.array(list(rows.values()), pa.int64())], ["feed", "seq", "file_id", "path", "type", "n"])
+            if len(seen) > 50_000:  # of this size at most is the memory of a task
+                yield flushed(seen)
+                seen = Counter()
+        yield flushed(seen)
 
     rows = lines.select("feed", "seq", "file_id", "payload").mapInArrow(run, "feed string, seq int, file_id bigint, path string, type string, n bigint")
     return rows.groupBy("feed", "seq", "file_id", "path", "type").agg(F.sum("n").alias("n"))
