@@ -1,11 +1,12 @@
 """Variant spellings of names typed by people.
 
-The parts of a name that may be its surname become weighted vectors of character n-grams. Within a block (a class) a
-sparse similarity join gives every pair of names whose surnames reach a cosine and whose given names begin alike: names
-are indexed by the heaviest n-grams that any partner must share, each together with a letter of the given name's
-beginning, so that common n-grams hardly meet even in a block that holds a third of all names. The pairs are checked
-part by part (surname, given name, middle names; typing slips, initials, short forms), which gives the similarity of
-two students; average-linkage clustering, in rounds that merge all mutually nearest clusters at once, groups them.
+Names become weighted vectors of character n-grams: the whole name, whatever the order of its parts, and each part that
+may be its surname. Within a block (a class) a sparse similarity join gives every pair of names whose surnames reach a
+cosine and whose given names begin alike: names are indexed by the heaviest n-grams that any partner must share, each
+together with a letter of the given name's beginning, so that common n-grams hardly meet even in a block that holds a
+third of all names; keys that are still heavy are salted. A pair's similarity is the cosine of the whole names, unless the
+check that follows finds a part that contradicts (surname, given name, middle names; typing slips, initials and short
+forms allowed). Average-linkage clustering of these similarities groups the students.
 
 Names in Chinese characters go through the same join as a whole: their n-grams are characters and pairs of characters
 with their position, characters of one Mandarin reading (ICU, without tones) counted as the same.
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markwise.session import checkpointed
+from markwise.session import checkpointed, stored
 
 # Letters that Unicode does not take apart, and doubled spellings of marked vowels.
 PLAIN = {"ø": "o", "æ": "a", "œ": "o", "ß": "ss", "đ": "d", "ð": "d", "ł": "l", "ı": "i", "þ": "th"}
@@ -36,12 +37,16 @@ DOUBLED = (("oe", "o"), ("ae", "a"), ("ue", "u"), ("aa", "a"))
 ADDED = ("同学",)
 #: Least cosine of two surnames that are looked at, and least similarity of two clusters that are one student.
 COSINE, LINKED = 0.35, 0.6
-#: An n-gram rarer than one in so many surnames weighs no more than one of that rarity: slips make rare n-grams.
-RAREST = 1000
-#: Refs that must show a pair of given names before it counts; a ref is one student, so one will do.
-SUPPORT = 1
-#: A pair of characters counts if it is not rarer than one in so many of the best pairs of both.
-CHARACTER_SHARE = 50
+#: An n-gram rarer than one in so many name parts weighs no more than one of that rarity: slips make rare n-grams.
+RAREST = 200
+#: A pair of given names, or of characters, that so many refs show counts if it is not rarer than one in SHARE of the best
+#: pairs of either end; one that fewer show only if that holds for both ends, so that one ref with a wrong name teaches
+#: nothing about a name that many refs show.
+SUPPORT, SHARE = 2, 50
+#: Keys of more names in one block are salted.
+HEAVY = 1000
+#: Blocks of more links are clustered by distributed rounds instead of in one task; the groups are the same.
+MANY_LINKS = 2000
 #: Hash slots of the n-gram weights: the table of weights that is sent to the workers has this size, whatever the corpus.
 SLOTS = 1 << 16
 #: Similarity of two names in Chinese characters of the same sounds, and of two that differ in the sound of one character.
@@ -178,11 +183,14 @@ def names_alike(a: tuple[str, ...], b: tuple[str, ...], short: dict[str, tuple[s
 
 
 def grams(part: str) -> list[str]:
-    """The three-letter n-grams of a part with its ends; of Chinese characters each and each two, with their position."""
+    """The two-letter n-grams of a part with its ends; of Chinese characters each and each two, with their position.
+
+    Two letters, since one slip leaves at least two in five of them, but hardly any longer n-gram of a short name.
+    """
     if HAN.search(part):
         return [f"{i}{part[i : i + n]}" for n in (1, 2) for i in range(len(part) - n + 1)]
     whole = f"^{part}$"
-    return sorted({whole[i : i + 3] for i in range(len(whole) - 2)})
+    return sorted({whole[i : i + 2] for i in range(len(whole) - 1)})
 
 
 def slot(gram: str) -> int:
@@ -190,6 +198,11 @@ def slot(gram: str) -> int:
     return xxhash.xxh32_intdigest(gram) % SLOTS + (SLOTS if HAN.search(gram) else 0)
 
 
+def sounded(form: tuple[str, ...], short: dict[str, tuple[str, ...]]) -> tuple[str, ...]:
+    """The parts of a name; a name in Chinese characters by its sounds."""
+    return (heard(form[0], short),) if len(form) == 1 and HAN.search(form[0]) else form
+
+
 def surnames(form: tuple[str, ...], short: dict[str, tuple[str, ...]]) -> list[tuple[str, set[str]]]:
     """What of a name becomes vectors, each with the letters that a partner's given name may begin with.
 
@@ -222,7 +235,14 @@ def spellings(attempts: DataFrame, ref: str = "student_ref", name: str = "studen
     return forms.join(place, "ref").select("ref", "block", "parts")
 
 
-def short_forms(names: DataFrame, support: int = SUPPORT) -> DataFrame:
+def shown_often(pairs: DataFrame, a: str, b: str, share: int = SHARE) -> DataFrame:
+    """The ``pairs`` (a, b, n) that are shown often enough beside the best pairs of both ends; see SUPPORT."""
+    ends = pairs.select(F.col(a).alias("end"), "n").unionByName(pairs.select(F.col(b).alias("end"), "n")).groupBy("end").agg(F.max("n").alias("best"))
+    joined = pairs.join(ends.withColumnsRenamed({"end": a, "best": "best_a"}), a).join(ends.withColumnsRenamed({"end": b, "best": "best_b"}), b)
+    return joined.where((F.col("n") * share >= F.greatest("best_a", "best_b")) | ((F.col("n") >= SUPPORT) & (F.col("n") * share >= F.least("best_a", "best_b")))).select(a, b, "n")
+
+
+def short_forms(names: DataFrame) -> DataFrame:
     """part, others: for each given name the other forms that refs show beside the same surname and middle names.
 
     Pairs are counted by ref and surname; nothing is gathered but the distinct forms of one given name.
@@ -231,21 +251,24 @@ def short_forms(names: DataFrame, support: int = SUPPORT) -> DataFrame:
     first = latin.select("ref", F.col("parts")[0].alias("surname"), F.expr("slice(parts, 2, size(parts) - 1)").alias("rest"))
     last = latin.select("ref", F.element_at("parts", -1).alias("surname"), F.expr("slice(parts, 1, size(parts) - 1)").alias("rest"))
     split = first.unionByName(last).where(F.length("surname") > 3).select("ref", "surname", F.col("rest")[0].alias("given"), F.expr("slice(rest, 2, size(rest))").alias("middle")).where(F.length("given") > 1).distinct()
-    other = split.withColumnRenamed("given", "other")
-    pairs = split.join(other, ["ref", "surname", "middle"]).where("given <> other").groupBy("given", "other").agg(F.count_distinct("ref").alias("n")).where(F.col("n") >= support)
-    return pairs.groupBy(F.col("given").alias("part")).agg(F.sort_array(F.collect_set("other")).alias("others"))
+    shown = split.groupBy("ref", "surname", "middle").agg(F.collect_set("given").alias("givens")).where(F.size("givens") > 1)  # the spellings of one ref
+    pairs = shown.select("ref", F.explode("givens").alias("given"), "givens").select("ref", "given", F.explode("givens").alias("other")).where("given <> other").groupBy("given", "other").agg(F.count_distinct("ref").alias("n"))
+    return shown_often(checkpointed(pairs), "given", "other").groupBy(F.col("given").alias("part")).agg(F.sort_array(F.collect_set("other")).alias("others"))
 
 
-def same_characters(names: DataFrame, share: int = CHARACTER_SHARE) -> dict[str, str]:
+def same_characters(names: DataFrame) -> dict[str, str]:
     """For each Chinese character that refs show in place of another one of the same name, the first of its group.
 
-    The result is bounded by the number of Chinese characters, so it may be held by the driver and sent to the workers.
+    A name of one character says nothing about what stands for it. What reaches the driver are the pairs that are shown
+    often enough, which the number of Chinese characters in use bounds.
     """
-    han = names.where((F.size("parts") == 1) & F.col("parts")[0].rlike("[\u3400-\uffff]")).select("ref", F.col("parts")[0].alias("name")).where("length(name) between 2 and 8")
-    masked = han.select("ref", "name", F.explode(F.expr("sequence(1, length(name))")).alias("at")).select(
+    han = names.where((F.size("parts") == 1) & F.col("parts")[0].rlike("[\u3400-\uffff]")).select("ref", F.col("parts")[0].alias("name")).where("length(name) >= 2").distinct()
+    several = han.groupBy("ref").agg(F.collect_list("name").alias("names")).where(F.size("names") > 1).select("ref", F.explode("names").alias("name"))  # the spellings of one ref
+    masked = several.select("ref", "name", F.explode(F.expr("sequence(1, length(name))")).alias("at")).select(
         "ref", "at", F.expr("concat(substring(name, 1, at - 1), '*', substring(name, at + 1))").alias("mask"), F.expr("substring(name, at, 1)").alias("char")
-    ).distinct()
-    pairs = masked.join(masked.withColumnRenamed("char", "other"), ["ref", "at", "mask"]).where("char < other").groupBy("char", "other").agg(F.count_distinct("ref").alias("n"))
+    )
+    shown = masked.groupBy("ref", "at", "mask").agg(F.collect_set("char").alias("chars")).where(F.size("chars") > 1)
+    pairs = shown.select("ref", F.explode("chars").alias("char"), "chars").select("ref", "char", F.explode("chars").alias("other")).where("char < other").groupBy("char", "other").agg(F.count_distinct("ref").alias("n"))
     root: dict[str, str] = {}
 
     def find(c: str) -> str:
@@ -253,14 +276,9 @@ def same_characters(names: DataFrame, share: int = CHARACTER_SHARE) -> dict[str,
             c = root[c]
         return c
 
-    counted = sorted((r["char"], r["other"], r["n"]) for r in pairs.collect())
-    most: dict[str, int] = {}
-    for a, b, n in counted:
-        most[a], most[b] = max(n, most.get(a, 0)), max(n, most.get(b, 0))
-    for a, b, n in counted:
-        if n * share >= min(most[a], most[b]):
-            a, b = sorted((find(a), find(b)))
-            root[b] = a
+    for a, b in sorted((r["char"], r["other"]) for r in shown_often(checkpointed(pairs), "char", "other").collect()):
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
     return {c: find(c) for c in list(root)}
 
 
@@ -304,17 +322,17 @@ def nodes(names: DataFrame) -> tuple[DataFrame, DataFrame]:
     forms = names.select("ref", "block", unified("parts").alias("parts")).distinct().withColumn("full", F.size(F.filter("parts", lambda p: F.length(p) > 1)))
     most = forms.groupBy("ref").agg(F.max("full").alias("most"))
     kept = forms.join(most, "ref").where("full = most").groupBy("ref", "block").agg(F.sort_array(F.collect_set("parts")).alias("forms"))
-    kept = checkpointed(kept)
+    kept = stored(kept)
     heads = kept.groupBy("block", "forms").agg(F.min("ref").alias("node"))
     members = kept.join(heads, ["block", "forms"]).select("ref", "node")
     each = heads.select("node", F.explode(F.array_distinct(F.flatten("forms"))).alias("part"))
     han = each.where(F.col("part").rlike(HAN_SQL)).select("node", "part", F.array(spoken("part")).alias("others"))
     parts = each.join(short_forms(names), "part").select("node", "part", "others").unionByName(han).groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("part", "others"))).alias("others"))
-    return checkpointed(heads.join(parts, "node", "left").select("node", "block", "forms", "others")), members
+    return stored(heads.join(parts, "node", "left").select("node", "block", "forms", "others")), members
 
 
 def gram_weights(heads: DataFrame) -> np.ndarray:
-    """Weight of each hash slot: the log of how rare its n-grams are among all possible surnames. Its size is fixed.
+    """Weight of each hash slot: the log of how rare its n-grams are among all parts of names. Its size is fixed.
 
     Names in Chinese characters are counted among themselves, in the second half.
     """
@@ -324,9 +342,9 @@ def gram_weights(heads: DataFrame) -> np.ndarray:
         for batch in batches:
             for forms, others in zip(batch["forms"], batch["others"], strict=True):
                 short = other_forms(others)
-                for surname in (x for form in forms for x, _ in surnames(tuple(form), short)):
-                    seen[2 * SLOTS + bool(HAN.search(surname))] += 1
-                    for g in grams(surname):
+                for part in {x for form in forms for x in sounded(tuple(form), short)}:
+                    seen[2 * SLOTS + bool(HAN.search(part))] += 1
+                    for g in grams(part):
                         seen[slot(g)] += 1
         at = np.flatnonzero(seen)
         yield pd.DataFrame({"slot": at, "n": seen[at]})
@@ -345,6 +363,16 @@ def vector(surname: str, weights: np.ndarray) -> dict[str, float]:
     return {g: x / length for g, x in v.items()} if length else {}
 
 
+def whole_vector(form: tuple[str, ...], short: dict[str, tuple[str, ...]], weights: np.ndarray) -> dict[str, float]:
+    """The n-gram vector of a whole name, of length 1, whatever the order of its parts."""
+    v: dict[str, float] = {}
+    for part in sounded(form, short):
+        for g in grams(part):
+            v[g] = v.get(g, 0.0) + float(weights[slot(g)])
+    length = sum(x * x for x in v.values()) ** 0.5
+    return {g: x / length for g, x in v.items()} if length else {}
+
+
 def index_grams(v: dict[str, float], cosine: float) -> list[str]:
     """The heaviest n-grams of a vector, so many that the others alone cannot reach ``cosine`` with any vector."""
     rest, out = 1.0, []
@@ -372,7 +400,7 @@ def cosine_of(a: dict[str, float], b: dict[str, float]) -> float:
 
 
 def links(heads: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """a, b, alike: all pairs of nodes of one block with surnames of at least ``cosine``, and how alike they are (above 0).
+    """block, a, b, alike: all pairs of nodes of one block with surnames of at least ``cosine``, and how alike they are (above 0).
 
     No partner is capped. Two vectors of that cosine share one of each other's index n-grams, because both order
     n-grams by the same weights and cut where the rest cannot reach the threshold.
@@ -388,11 +416,16 @@ def links(heads: DataFrame, cosine: float = COSINE) -> DataFrame:
                 out += [(node, block, *k) for k in set().union(*(index_keys(tuple(f), short, sent.value, cosine) for f in forms))]
             yield pd.DataFrame(out, columns=["node", "block", "key", "surname"])
 
-    rows = checkpointed(heads.select("node", "block", "forms", F.map_entries("others").alias("others")).mapInPandas(index, "node string, block string, key string, surname string"))
-    met = rows.select("block", "key", F.col("node").alias("a"), F.col("surname").alias("x")).join(rows.select("block", "key", F.col("node").alias("b"), F.col("surname").alias("y")), ["block", "key"]).where("a < b")
+    rows = stored(heads.select("node", "block", "forms", F.map_entries("others").alias("others")).mapInPandas(index, "node string, block string, key string, surname string"))
+    # a heavy key meets itself in salted parts: each name once on the left, in every part on the right
+    heavy = rows.groupBy("block", "key").agg(F.count("*").alias("n")).where(F.col("n") > HEAVY).select("block", "key", F.ceil(F.col("n") / HEAVY).cast("int").alias("salts"))
+    salted = rows.join(heavy, ["block", "key"], "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    left = salted.select("block", "key", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), F.col("node").alias("a"), F.col("surname").alias("x"))
+    right = salted.select("block", "key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("node").alias("b"), F.col("surname").alias("y"))
+    met = left.join(right, ["block", "key", "salt"]).where("a < b")
     # two slips are at most four edits, a swap being two, and of Chinese characters one may differ: most pairs of a common
     # n-gram end here, inside the JVM
-    pairs = met.where(F.when(F.col("x").rlike(HAN_SQL), F.levenshtein("x", "y", 1) >= 0).otherwise(F.levenshtein("x", "y", 4) >= 0)).select("a", "b").distinct()
+    pairs = met.where(F.when(F.col("x").rlike(HAN_SQL), F.levenshtein("x", "y", 1) >= 0).otherwise(F.levenshtein("x", "y", 4) >= 0)).select("block", "a", "b").distinct()
     side = lambda name: heads.select(F.col("node").alias(name), F.col("forms").alias(f"forms_{name}"), F.map_entries(F.col("others")).alias(f"others_{name}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
 
@@ -403,10 +436,74 @@ def links(heads: DataFrame, cosine: float = COSINE) -> DataFrame:
         near = lambda x, y: cosine_of(of(x), of(y)) >= cosine
         for fa, fb, oa, ob in zip(forms_a, forms_b, others_a, others_b, strict=True):
             short = other_forms(oa) | other_forms(ob)
-            out.append(max(names_alike(tuple(a), tuple(b), short, near) for a in fa for b in fb))
+            out.append(max(similarity(tuple(a), tuple(b), short, near, weights) for a in fa for b in fb))
         return pd.Series(out)
 
-    return both.select("a", "b", alike("forms_a", "forms_b", "others_a", "others_b").alias("alike")).where("alike > 0")
+    return both.select("block", "a", "b", alike("forms_a", "forms_b", "others_a", "others_b").alias("alike")).where("alike > 0")
+
+
+def similarity(a: tuple[str, ...], b: tuple[str, ...], short: dict[str, tuple[str, ...]], near: Callable[[str, str], bool], weights: np.ndarray) -> float:
+    """Similarity of two names: the cosine of the whole names, from 0.5 for none to 1, if no part contradicts, else 0.
+
+    The check may also leave it open (names in Chinese characters that differ in one sound): then it is 0.5, which links
+    nobody by itself and counts in the mean of two clusters.
+    """
+    checked = names_alike(a, b, short, near)
+    if checked < LINKED:
+        return min(checked, ONE_SOUND)
+    return 0.5 + 0.5 * cosine_of(whole_vector(a, short, weights), whole_vector(b, short, weights))
+
+
+def average_linkage(edges: list[tuple[str, str, float]], linked: float = LINKED) -> dict[str, str]:
+    """The cluster of every node that joins one, by average linkage in memory; the same groups as :func:`clustered`."""
+    sums: dict[str, dict[str, float]] = {}
+    for a, b, w in edges:
+        sums.setdefault(a, {})[b] = sums.setdefault(b, {})[a] = w
+    size = dict.fromkeys(sums, 1)
+    cluster: dict[str, list[str]] = {x: [x] for x in sums}
+    while True:
+        best = {}
+        for x, others in sums.items():
+            near = [(-w / (size[x] * size[y]), min(x, y), max(x, y), y) for y, w in others.items() if w / (size[x] * size[y]) >= linked]
+            if near:
+                best[x] = min(near)[3]
+        merged = [(x, y) for x, y in best.items() if x < y and best.get(y) == x]
+        if not merged:
+            return {node: name for name, nodes_ in cluster.items() if len(nodes_) > 1 for node in nodes_}
+        for lo, hi in merged:
+            cluster[lo] += cluster.pop(hi)
+            size[lo] += size.pop(hi)
+            for other, w in sums.pop(hi).items():
+                del sums[other][hi]
+                if other != lo:
+                    sums[lo][other] = sums[other][lo] = sums[lo].get(other, 0.0) + w
+
+
+def clustered_in_blocks(edges: DataFrame, linked: float = LINKED) -> DataFrame:
+    """node, cluster for every node that joins a cluster of more than one; ``edges`` are block, a, b, alike within blocks.
+
+    A block of up to MANY_LINKS links is clustered in one task, block by block as they come sorted; blocks of more links go
+    through the distributed rounds of :func:`clustered`.
+    """
+    edges = stored(edges)
+    size = edges.groupBy("block").agg(F.count("*").alias("n"))
+    sized = edges.join(size, "block")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, []
+        for batch in batches:
+            out: list[tuple[str, str]] = []
+            for block, a, b, w in zip(batch["block"], batch["a"], batch["b"], batch["alike"], strict=True):
+                if block != at:
+                    out += average_linkage(held, linked).items()
+                    at, held = block, []
+                held.append((a, b, w))
+            yield pd.DataFrame(out, columns=["node", "cluster"])
+        yield pd.DataFrame(list(average_linkage(held, linked).items()), columns=["node", "cluster"])
+
+    few = sized.where(F.col("n") <= MANY_LINKS).select("block", "a", "b", "alike").repartition("block").sortWithinPartitions("block").mapInPandas(run, "node string, cluster string")
+    many = sized.where(F.col("n") > MANY_LINKS).select("a", "b", "alike")
+    return few if size.where(F.col("n") > MANY_LINKS).isEmpty() else few.unionByName(clustered(many, linked))
 
 
 def clustered(edges: DataFrame, linked: float = LINKED) -> DataFrame:
@@ -448,9 +545,9 @@ def clustered(edges: DataFrame, linked: float = LINKED) -> DataFrame:
 
 def students(attempts: DataFrame, ref: str = "student_ref", name: str = "student_name", block: str = "class_id") -> DataFrame:
     """ref, block, student: the student of every ref that has a name and a block, named by the least ref."""
-    names = checkpointed(spellings(attempts, ref, name, block))
+    names = stored(spellings(attempts, ref, name, block))
     heads, members = nodes(names)
-    groups = clustered(links(heads))
+    groups = clustered_in_blocks(links(heads))
     placed = members.join(heads.select("node", "block"), "node").join(groups, "node", "left")
     return placed.select("ref", "block", F.coalesce("cluster", "node").alias("student"))
 

@@ -97,3 +97,27 @@ def test_query(spark, data):
     found = queries.p3_found(spark, data).collect()
     assert found and all(r["ref_a"] < r["ref_b"] for r in found) and len(set(found)) == len(found)
     assert queries.p3_students(spark, data).count() > len(found)
+
+
+def test_linkage_in_memory_equals_the_distributed_rounds(spark, monkeypatch):
+    import random
+
+    rng = random.Random(9)
+    rows = [(f"k{k}", f"k{k}n{i:02d}", f"k{k}n{j:02d}", round(rng.uniform(0.3, 1.0), 2)) for k in range(6) for i, j in combinations(range(14), 2) if rng.random() < 0.3]
+    edges = spark.createDataFrame(rows, "block string, a string, b string, alike double")
+    few = {tuple(r) for r in names.clustered_in_blocks(edges).collect()}
+    monkeypatch.setattr(names, "MANY_LINKS", 25)
+    assert {tuple(r) for r in names.clustered_in_blocks(edges).collect()} == few == {tuple(r) for r in names.clustered(edges.drop("block")).collect()}
+
+
+def test_heavy_keys_are_salted(spark, data, monkeypatch):
+    heads, _ = names.nodes(names.spellings(spark.read.parquet(f"{data}/attempts.parquet")))
+    want = {tuple(r) for r in names.links(heads).collect()}
+    monkeypatch.setattr(names, "HEAVY", 3)
+    assert {tuple(r) for r in names.links(heads).collect()} == want
+
+
+def test_one_wrong_name_teaches_nothing_about_a_frequent_one(spark):
+    rows = [(f"s{i}", "c", n) for i in range(60) for n in ("Geli Kemadale", "Angelika Kemadale")] + [("t", "c", "Geli Kemadale"), ("t", "c", "Anton Kemadale"), ("u", "c", "Anton Kemadale"), ("u", "c", "Toni Kemadale")]
+    found = names.short_forms(names.spellings(spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA)))
+    assert {r["part"]: r["others"] for r in found.where("part in ('geli', 'toni')").collect()} == {"geli": ["angelika"], "toni": ["anton"]}
