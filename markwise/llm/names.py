@@ -25,6 +25,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +46,8 @@ RAREST = 200
 SUPPORT, SHARE = 2, 50
 #: Keys of more names in one block are salted.
 HEAVY = 1000
+#: Blocks of more names are joined through the distributed index instead of one matrix; the pairs are the same.
+MANY_NAMES = 500
 #: Blocks of more links are clustered by distributed rounds instead of in one task; the groups are the same.
 MANY_LINKS = 2000
 #: Hash slots of the n-gram weights: the table of weights that is sent to the workers has this size, whatever the corpus.
@@ -402,12 +405,69 @@ def cosine_of(a: dict[str, float], b: dict[str, float]) -> float:
 def links(heads: DataFrame, cosine: float = COSINE) -> DataFrame:
     """block, a, b, alike: all pairs of nodes of one block with surnames of at least ``cosine``, and how alike they are (above 0).
 
-    No partner is capped. Two vectors of that cosine share one of each other's index n-grams, because both order
-    n-grams by the same weights and cut where the rest cannot reach the threshold.
+    No partner is capped. A block of up to MANY_NAMES nodes is one product of its sparse n-gram matrix with itself; larger
+    ones go through the distributed index of :func:`links_by_index`. Blocks come sorted, so a task holds one at a time.
     """
     spark = heads.sparkSession
     sent = spark.sparkContext.broadcast(gram_weights(heads))
+    size = heads.groupBy("block").agg(F.count("*").alias("n"))
+    flat = ("node", "block", "forms")
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, []
+        for batch in batches:
+            out: list[tuple] = []
+            for node, block, forms, others in zip(batch["node"], batch["block"], batch["forms"], batch["others"], strict=True):
+                if block != at:
+                    out += block_links(at, held, sent.value, cosine)
+                    at, held = block, []
+                held.append((node, [tuple(f) for f in forms], other_forms(others)))
+            yield pd.DataFrame(out, columns=["block", "a", "b", "alike"])
+        yield pd.DataFrame(block_links(at, held, sent.value, cosine), columns=["block", "a", "b", "alike"])
+
+    sized = heads.join(size, "block")
+    few = sized.where(F.col("n") <= MANY_NAMES).select(*flat, F.map_entries("others").alias("others")).repartition("block").sortWithinPartitions("block").mapInPandas(run, "block string, a string, b string, alike double")
+    if size.where(F.col("n") > MANY_NAMES).isEmpty():
+        return few
+    return few.unionByName(links_by_index(sized.where(F.col("n") > MANY_NAMES).drop("n"), sent, cosine))
+
+
+def block_links(block: str | None, held: list[tuple], weights: np.ndarray, cosine: float) -> list[tuple]:
+    """The links of one block whose nodes are held as (node, forms, other forms)."""
+    # a name that has no surname to split off meets only itself
+    rows = [(i, surname, letters) for i, (_, forms, short) in enumerate(held) for form in forms for surname, letters in surnames(form, short) or [(" ".join(form), {"="})]]
+    if not rows:
+        return []
+    columns: dict[str, int] = {}
+    vectors = [vector(surname, weights) for _, surname, _ in rows]
+    for v in vectors:
+        for g in v:
+            columns.setdefault(g, len(columns))
+    matrix = np.zeros((len(rows), len(columns)), dtype=np.float32)
+    for r, v in enumerate(vectors):
+        for g, w in v.items():
+            matrix[r, columns[g]] = w
+    # a little below the threshold, since the product is of single precision; the check decides
+    left, right = np.nonzero(np.triu(matrix @ matrix.T >= cosine - 1e-4))
+    pairs = {tuple(sorted((rows[x][0], rows[y][0]))) for x, y in zip(left.tolist(), right.tolist(), strict=True) if rows[x][0] != rows[y][0] and rows[x][2] & rows[y][2]}
+    of = {surname: v for (_, surname, _), v in zip(rows, vectors, strict=True)}
+    near = lambda x, y: cosine_of(of[x], of[y]) >= cosine
+    out = []
+    for i, j in sorted(pairs):
+        (a, forms_a, short_a), (b, forms_b, short_b) = held[i], held[j]
+        short = short_a | short_b
+        alike = max(similarity(x, y, short, near, weights) for x in forms_a for y in forms_b)
+        if alike > 0:
+            out.append((block, min(a, b), max(a, b), alike))
+    return out
+
+
+def links_by_index(heads: DataFrame, sent: Broadcast, cosine: float) -> DataFrame:
+    """The same pairs by an inverted index: block, a, b, alike.
+
+    Two vectors of that cosine share one of each other's index n-grams, because both order n-grams by the same weights and
+    cut where the rest cannot reach the threshold.
+    """
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
