@@ -52,3 +52,22 @@ def test_query_over_the_test_data(spark, data):
     assert len(shares) == len(caps) and sum(r["actual_share"] for r in shares) == pytest.approx(1.0)
     assert all(r["most_copies"] <= caps[r["source"]] for r in shares)
     assert q.p7_mix(spark, data).select("doc_id", "copy").distinct().count() == q.p7_mix(spark, data).count()
+
+
+def test_shares_where_no_text_is_a_hundredth_of_its_source(spark):
+    import random
+
+    rng = random.Random(3)
+    sized = spark.createDataFrame([(i, "abc"[i % 3], int(rng.paretovariate(1.6) * 40) % 2000) for i in range(9000)], "doc_id long, source string, size long")
+    targets = spark.createDataFrame([("a", 0.6, 2), ("b", 0.3, 3), ("c", 0.1, 4)], "source string, target_share double, max_repeats int")
+    shares = mix.actual_shares(mix.mixed(sized, targets), sized, targets).collect()
+    assert len(shares) == 3 and all(abs(r["miss"]) < 0.02 and r["most_copies"] <= {"a": 2, "b": 3, "c": 4}[r["source"]] for r in shares)
+
+
+def test_a_text_of_a_fifth_of_its_source_is_made_up_for(spark):
+    rows = [(i, "a", 10) for i in range(800)] + [(900, "a", 2000)] + [(1000 + i, "b", 10) for i in range(500)]
+    sized = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    targets = spark.createDataFrame([("a", 0.5, 3), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    for seed in range(4):
+        got = mix.mixed(sized, targets, seed).groupBy("source").sum("size").collect()
+        assert {r[0] for r in got} == {"a", "b"} and abs(got[0][1] - got[1][1]) <= 20
