@@ -69,14 +69,50 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return instants.moments(table(spark, folder, "attempts"), table(spark, folder, "org_settings"), "attempt_id", "submitted_at", "organization_id")
 
 
-P2_FOUND = """
-WITH c AS (SELECT DISTINCT record_id, CAST(payload AS JSON) AS p FROM (SELECT record_id, CASE WHEN json_valid(payload) THEN payload END AS payload FROM class_records) WHERE payload IS NOT NULL AND record_id IS NOT NULL),
-a AS (SELECT record_id, unnest(l) AS x, unnest(range(len(l))) AS i FROM (SELECT record_id, CASE json_type(p, '$.attempts') WHEN 'ARRAY' THEN CAST(p -> '$.attempts' AS JSON[]) WHEN 'OBJECT' THEN [p -> '$.attempts'] ELSE [] END AS l FROM c)),
-r AS (SELECT record_id, i, attempt_id, unnest(l) AS x, unnest(range(len(l))) AS j FROM (SELECT record_id, i, x ->> '$.attempt_id' AS attempt_id, CASE json_type(x, '$.responses') WHEN 'ARRAY' THEN CAST(x -> '$.responses' AS JSON[]) WHEN 'OBJECT' THEN [x -> '$.responses'] ELSE [] END AS l FROM a WHERE json_type(x) = 'OBJECT')),
-v AS (SELECT record_id, i, j, attempt_id, x ->> '$.question_id' AS question_id, CASE json_type(x, '$.evidence') WHEN 'VARCHAR' THEN CAST(CASE WHEN json_valid(x ->> '$.evidence') THEN x ->> '$.evidence' END AS JSON) ELSE x -> '$.evidence' END AS e FROM r WHERE json_type(x) = 'OBJECT'),
-e AS (SELECT record_id, i, j, attempt_id, question_id, unnest(l) AS x, unnest(range(len(l))) AS k FROM (SELECT *, CASE json_type(e) WHEN 'ARRAY' THEN CAST(e AS JSON[]) WHEN 'OBJECT' THEN [e] ELSE [] END AS l FROM v))
-SELECT record_id, CAST(i AS INT) AS attempt_pos, CAST(j AS INT) AS response_pos, CAST(k AS INT) AS evidence_pos, attempt_id, question_id, x ->> '$.evidence_id' AS evidence_id FROM e WHERE json_type(x) = 'OBJECT'
+def _list_sql(value: str, path: str) -> str:
+    """A repeated part in DuckDB's SQL: a list, a lone object, or the JSON text of either."""
+    own = f"(CASE json_type({value}, '{path}') WHEN 'VARCHAR' THEN CAST(CASE WHEN json_valid({value} ->> '{path}') THEN {value} ->> '{path}' END AS JSON) ELSE {value} -> '{path}' END)"
+    return f"(CASE json_type({own}) WHEN 'ARRAY' THEN CAST({own} AS JSON[]) WHEN 'OBJECT' THEN [{own}] ELSE [] END)"
+
+
+#: Attempts (a), responses (r) and evidence (e) of the latest complete delivery of every record, with their positions.
+NESTED = f"""
+WITH c AS (SELECT record_id, CAST(payload AS JSON) AS p FROM class_records WHERE record_id IS NOT NULL AND json_valid(payload) QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY loaded_at DESC, payload DESC) = 1),
+a0 AS (SELECT record_id, unnest(l) AS x, CAST(unnest(range(len(l))) AS INT) AS attempt_pos FROM (SELECT record_id, {_list_sql("p", "$.attempts")} AS l FROM c)),
+a AS (SELECT *, x ->> '$.attempt_id' AS attempt_id FROM a0 WHERE json_type(x) = 'OBJECT'),
+r0 AS (SELECT * EXCLUDE (l, x), unnest(l) AS x, CAST(unnest(range(len(l))) AS INT) AS response_pos FROM (SELECT *, {_list_sql("x", "$.responses")} AS l FROM a)),
+r AS (SELECT *, x ->> '$.question_id' AS question_id FROM r0 WHERE json_type(x) = 'OBJECT'),
+e0 AS (SELECT * EXCLUDE (l, x), unnest(l) AS x, CAST(unnest(range(len(l))) AS INT) AS evidence_pos FROM (SELECT *, {_list_sql("x", "$.evidence")} AS l FROM r)),
+e AS (SELECT * FROM e0 WHERE json_type(x) = 'OBJECT'),
+t0 AS (SELECT * EXCLUDE (l, x), unnest(l) AS x, CAST(unnest(range(len(l))) AS INT) AS tag_pos FROM (SELECT *, {_list_sql("x", "$.error_tags")} AS l FROM r)),
+t AS (SELECT * FROM t0 WHERE json_type(x) = 'OBJECT')
 """
+P2_FOUND = NESTED + "SELECT record_id, attempt_pos, response_pos, evidence_pos, attempt_id, question_id, x ->> '$.evidence_id' AS evidence_id FROM e"
+
+
+def _rest_sql(*known: str) -> str:
+    """Null where an object has the known keys only; these data hold no others in attempts, responses and tags."""
+    return f"CASE WHEN len(list_filter(json_keys(x), lambda k: k NOT IN ({', '.join(repr(k) for k in known)}))) > 0 THEN 'more' END AS rest"
+
+
+def _fields_sql(*paths: str) -> str:
+    return ", ".join(f"x ->> '$.{p}' AS {p.replace('.', '_')}" for p in paths)
+
+
+P2_ATTEMPTS = NESTED + f"SELECT record_id, attempt_pos, attempt_id, {_fields_sql('class_id', 'student_ref', 'submitted_at')}, {_rest_sql('attempt_id', 'class_id', 'student_ref', 'submitted_at', 'responses')} FROM a"
+P2_RESPONSES = (
+    NESTED
+    + f"SELECT record_id, attempt_pos, response_pos, attempt_id, question_id, {_fields_sql('raw_ocr_text', 'normalized_answer', 'score', 'confidence.ocr', 'confidence.grading', 'review_status', 'teacher_review')}, "
+    + _rest_sql("question_id", "raw_ocr_text", "normalized_answer", "score", "confidence", "review_status", "teacher_review", "evidence", "error_tags")
+    + " FROM r"
+)
+P2_TAGS = NESTED + f"SELECT record_id, attempt_pos, response_pos, tag_pos, attempt_id, question_id, {_fields_sql('dimension', 'name', 'confidence', 'evidence_ids')}, {_rest_sql('dimension', 'name', 'confidence', 'evidence_ids')} FROM t"
+_REST_PARTS = ", ".join(f"CASE WHEN json_exists(x, '$.source.{k}') THEN '\"source.{k}\":' || CAST(x -> '$.source.{k}' AS VARCHAR) END" for k in ("bbox", "bbox_unit", "raw_text"))
+P2_EVIDENCE = (
+    NESTED
+    + f"SELECT record_id, attempt_pos, response_pos, evidence_pos, attempt_id, question_id, {_fields_sql('evidence_id', 'observed', 'explanation', 'causal_role', 'step', 'confidence', 'source.document_id', 'source.page')}, "
+    + f"'{{' || nullif(concat_ws(',', {_REST_PARTS}, CASE WHEN json_type(x, '$.source') = 'NULL' THEN '\"source\":null' END), '') || '}}' AS rest FROM e"
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -86,4 +122,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL of those that SQL can express in whole."""
-    return {"p2_found": P2_FOUND}
+    return {"p2_found": P2_FOUND, "p2_attempts": P2_ATTEMPTS, "p2_responses": P2_RESPONSES, "p2_evidence": P2_EVIDENCE, "p2_error_tags": P2_TAGS}

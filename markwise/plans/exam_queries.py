@@ -507,8 +507,11 @@ def changes_unmatched(spark: SparkSession, folder: str) -> DataFrame:
     return changes.unmatched(table(spark, folder, "events").select(F.col("user_id").alias("c_custkey")), table(spark, folder, "customer"), ["c_custkey"])
 
 
-@query(data_queries.P2_FOUND.rsplit("SELECT", 1)[0] + """SELECT record_id, CAST(i AS INT) AS attempt_pos, CAST(j AS INT) AS response_pos, count(*) AS evidence, count(*) FILTER (x ->> '$.causal_role' = 'causal') AS causal,
-min(TRY_CAST(x ->> '$.step' AS INT)) FILTER (x ->> '$.causal_role' = 'causal') AS first_step FROM e WHERE json_type(x) = 'OBJECT' GROUP BY 1, 2, 3""")
+@query(
+    data_queries.NESTED
+    + """SELECT record_id, attempt_pos, response_pos, count(*) AS evidence, count(*) FILTER (x ->> '$.causal_role' = 'causal') AS causal,
+min(TRY_CAST(x ->> '$.step' AS INT)) FILTER (x ->> '$.causal_role' = 'causal') AS first_step FROM e GROUP BY 1, 2, 3"""
+)
 def causal_steps(spark: SparkSession, folder: str) -> DataFrame:
     """Evidence of every response of the class records, with the first causal step."""
     return changes.first_causal_step(data_queries.p2_evidence(spark, folder), ["record_id", "attempt_pos", "response_pos"])

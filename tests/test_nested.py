@@ -54,3 +54,27 @@ def test_tables_are_linked(spark, data):
     assert responses.join(attempts, ["record_id", "attempt_pos", "attempt_id"], "left_anti").count() == 0
     assert evidence.join(responses, ["record_id", "attempt_pos", "response_pos", "attempt_id", "question_id"], "left_anti").count() == 0
     assert evidence.count() == q.p2_found(spark, data).count() > 0
+
+
+def test_of_different_deliveries_the_latest_counts_whole(spark):
+    old = json.dumps({"attempts": [{"attempt_id": "a", "class_id": "z", "student_ref": "s"}, {"attempt_id": "more"}]})
+    new = json.dumps({"attempts": [{"attempt_id": "b", "student_ref": None}]})
+    rows = [(1, "2026-01-01", old), (1, "2026-01-02", new), (1, "2026-01-03", new[:-1]), (2, "2026-01-02", old), (2, "2026-01-01", new), (2, "2026-01-02", old)]
+    frame = spark.createDataFrame(rows, "record_id long, at string, payload string").selectExpr("record_id", "cast(at as timestamp) as loaded_at", "payload")
+    got = {(r["record_id"], r["attempt_pos"], r["attempt_id"], r["class_id"], r["student_ref"]) for r in class_table(frame, "attempts").collect()}
+    assert got == {(1, 0, "b", None, None), (2, 0, "a", "z", "s"), (2, 1, "more", None, None)}
+
+
+def test_streams_keep_late_keys_repeated_keys_and_deep_values(spark):
+    deep = "[" * 50_000 + "]" * 50_000
+    text = '{"attempts": [{"attempt_id": "lost"}], "deep": %s, "attempts": [{"responses": [{"evidence": [{"evidence_id": "e"}], "question_id": "q"}], "attempt_id": "x", "attempt_id": "a"}]}' % deep
+    assert found(spark, [(1, text, ""), (2, text[:-1], ""), (3, text + "}", "")]) == [(1, 0, 0, 0, "a", "q", "e")]
+
+
+def test_one_pass_gives_the_same_tables(spark, data):
+    from markwise.operators.nested import CLASS_FIELDS, class_tables
+
+    records = spark.read.parquet(f"{data}/class_records.parquet")
+    tables = class_tables(records)
+    for group in CLASS_FIELDS:
+        assert sorted(map(repr, tables[group].collect())) == sorted(map(repr, class_table(records, group).collect()))
