@@ -44,7 +44,3 @@ def py_round(value: Column, digits: int) -> Column:
 
     return rounded(value.cast("double"))
 
-
-def half_up(value: Column, digits: int = 2) -> Column:
-    """``value`` rounded half up in decimal arithmetic."""
-    return F.round(value.cast("decimal(38,12)"), digits).cast("double")

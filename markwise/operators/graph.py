@@ -12,14 +12,14 @@ WEIGHTS = {"knowledge": 0.55, "cognitive": 0.28, "error": 0.17}
 
 
 def node_statistics(questions: DataFrame, rows: DataFrame) -> DataFrame:
-    """Per question: responses, scored, correct, correct_rate (null where none is scored), review_count, lost_score, size, grp.
+    """Per question: responses, scored, correct (marked so, scored or not), correct_rate (null where none is scored), review_count, lost_score, size, grp.
 
     ``size`` is 8 and twice the lost score, at least 8. ``grp`` is the knowledge tag of the highest confidence, the
     first of equals, else unclassified.
     """
     lost = F.coalesce(F.sum(F.when(F.col("score_u").isNotNull(), F.col("max_u") - F.col("score_u"))), F.lit(0))
     got = rows.groupBy("question_id").agg(
-        F.count("*").alias("responses"), F.count_if(F.col("score_u").isNotNull()).alias("scored"), F.count_if(F.col("is_correct").eqNullSafe(F.lit(True)) & F.col("score_u").isNotNull()).alias("correct"),
+        F.count("*").alias("responses"), F.count_if(F.col("score_u").isNotNull()).alias("scored"), F.count_if(F.col("is_correct").eqNullSafe(F.lit(True))).alias("correct"),
         F.count_if(F.col("review_status").isin("needs_review", "provisional")).alias("review_count"), lost.alias("lost_u"),
     )
     top = F.expr("array_sort(transform(filter(tags, t -> t.dimension = 'knowledge'), (t, i) -> struct(-coalesce(t.confidence, 1.0) as c, i, t.name as name)))[0].name")

@@ -17,7 +17,7 @@ PAGE = 20_000
 
 def report_lists(spark: SparkSession, folder: str, rows: DataFrame) -> dict[str, DataFrame]:
     """The lists of the report over the responses of one class, whole and in their order."""
-    named = lambda df, kind: df.withColumn("label", labels.label(kind, F.col("name"), F.col("name"))).orderBy(F.desc("n"), "name")
+    named = lambda df, kind: df.withColumn("label", labels.label(kind, F.col("name"))).orderBy(F.desc("n"), "name")
     answered = rows.select("question_id").distinct()
     waiting = rows.where(F.col("review_status").isin("needs_review", "provisional"))
     return {
@@ -54,7 +54,3 @@ def report_model(spark: SparkSession, folder: str, class_id: str, organization_i
     finally:
         rows.unpersist()
 
-
-def top_questions(spark: SparkSession, folder: str, most: int = 3) -> DataFrame:
-    """The questions that cost the most."""
-    return statistics.question_insight(questions(spark, folder), placed(spark, folder, "is_correct", "review_status")).where(F.col("position") <= most)

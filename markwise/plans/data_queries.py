@@ -69,7 +69,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return instants.moments(table(spark, folder, "attempts"), table(spark, folder, "org_settings"), "attempt_id", "submitted_at", "organization_id")
 
 
-def _list_sql(value: str, path: str) -> str:
+def list_sql(value: str, path: str) -> str:
     """A repeated part in DuckDB's SQL: a list, a lone object, or the JSON text of either."""
     own = f"(CASE json_type({value}, '{path}') WHEN 'VARCHAR' THEN CAST(CASE WHEN json_valid({value} ->> '{path}') THEN {value} ->> '{path}' END AS JSON) ELSE {value} -> '{path}' END)"
     return f"(CASE json_type({own}) WHEN 'ARRAY' THEN CAST({own} AS JSON[]) WHEN 'OBJECT' THEN [{own}] ELSE [] END)"
@@ -78,13 +78,13 @@ def _list_sql(value: str, path: str) -> str:
 #: Attempts (a), responses (r) and evidence (e) of the latest complete delivery of every record, with their positions.
 NESTED = f"""
 WITH c AS (SELECT record_id, CAST(payload AS JSON) AS p FROM class_records WHERE record_id IS NOT NULL AND json_valid(payload) QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY loaded_at DESC, payload DESC) = 1),
-a0 AS (SELECT record_id, unnest(l) AS x, CAST(unnest(range(len(l))) AS INT) AS attempt_pos FROM (SELECT record_id, {_list_sql("p", "$.attempts")} AS l FROM c)),
+a0 AS (SELECT record_id, unnest(l) AS x, CAST(unnest(range(len(l))) AS INT) AS attempt_pos FROM (SELECT record_id, {list_sql("p", "$.attempts")} AS l FROM c)),
 a AS (SELECT *, x ->> '$.attempt_id' AS attempt_id FROM a0 WHERE json_type(x) = 'OBJECT'),
-r0 AS (SELECT * EXCLUDE (l, x), unnest(l) AS x, CAST(unnest(range(len(l))) AS INT) AS response_pos FROM (SELECT *, {_list_sql("x", "$.responses")} AS l FROM a)),
+r0 AS (SELECT * EXCLUDE (l, x), unnest(l) AS x, CAST(unnest(range(len(l))) AS INT) AS response_pos FROM (SELECT *, {list_sql("x", "$.responses")} AS l FROM a)),
 r AS (SELECT *, x ->> '$.question_id' AS question_id FROM r0 WHERE json_type(x) = 'OBJECT'),
-e0 AS (SELECT * EXCLUDE (l, x), unnest(l) AS x, CAST(unnest(range(len(l))) AS INT) AS evidence_pos FROM (SELECT *, {_list_sql("x", "$.evidence")} AS l FROM r)),
+e0 AS (SELECT * EXCLUDE (l, x), unnest(l) AS x, CAST(unnest(range(len(l))) AS INT) AS evidence_pos FROM (SELECT *, {list_sql("x", "$.evidence")} AS l FROM r)),
 e AS (SELECT * FROM e0 WHERE json_type(x) = 'OBJECT'),
-t0 AS (SELECT * EXCLUDE (l, x), unnest(l) AS x, CAST(unnest(range(len(l))) AS INT) AS tag_pos FROM (SELECT *, {_list_sql("x", "$.error_tags")} AS l FROM r)),
+t0 AS (SELECT * EXCLUDE (l, x), unnest(l) AS x, CAST(unnest(range(len(l))) AS INT) AS tag_pos FROM (SELECT *, {list_sql("x", "$.error_tags")} AS l FROM r)),
 t AS (SELECT * FROM t0 WHERE json_type(x) = 'OBJECT')
 """
 P2_FOUND = NESTED + "SELECT record_id, attempt_pos, response_pos, evidence_pos, attempt_id, question_id, x ->> '$.evidence_id' AS evidence_id FROM e"

@@ -11,7 +11,7 @@ from markwise.functions import hashing, labels, text, vectors
 from markwise.functions.numeric import percentage
 from markwise.operators import answers, audit, changes, graph, migration, statistics, validation, vocabulary
 from markwise.plans import data_queries
-from markwise.plans.exam_views import BASE, attempts, joined, percent_sql, placed, questions, responses
+from markwise.plans.exam_views import BASE, attempts, joined, percent_sql, placed, questions, responses, round_sql
 from markwise.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,7 +108,7 @@ def error_pairs(spark: SparkSession, folder: str) -> DataFrame:
     + f""", g AS (SELECT q.question_id, count(j.response_id) AS responses, count(*) FILTER (j.is_correct = false) AS incorrect, count(*) FILTER (j.score_u IS NOT NULL) AS scored,
 coalesce(sum(j.max_u - j.score_u) FILTER (j.score_u IS NOT NULL), 0) AS lost_u, count(*) FILTER (j.review_status IN ('needs_review', 'provisional')) AS review_count
 FROM questions q LEFT JOIN j USING (question_id) GROUP BY 1)
-SELECT question_id, responses, incorrect, scored, CAST(lost_u AS DOUBLE) / 1000000 AS lost_score, review_count, {percent_sql("incorrect", "responses")} AS incorrect_share,
+SELECT question_id, responses, incorrect, scored, CAST(lost_u AS DOUBLE) / 1000000 AS lost_score, review_count, CASE WHEN responses > 0 THEN {round_sql("CAST(incorrect AS DOUBLE) / responses * 100")} ELSE 0.0 END AS incorrect_rate,
 CAST(row_number() OVER (ORDER BY lost_u DESC, incorrect DESC, review_count DESC, question_id) AS INT) AS "position" FROM g"""
 )
 def question_insight(spark: SparkSession, folder: str) -> DataFrame:
@@ -137,21 +137,21 @@ def question_examples(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """SELECT question_id, list_sort(list_distinct(list_transform(list_filter(tags, lambda t: t.dimension = 'knowledge'), lambda t: coalesce(CASE t.name """
+    """SELECT question_id, list_sort(list_distinct(list_transform(list_filter(tags, lambda t: t.dimension = 'knowledge' AND t.name <> ''), lambda t: coalesce(CASE t.name """
     + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in labels.LABELS["knowledge"].items())
-    + """ END, t.name)))) AS labels FROM questions"""
+    + """ END, '自定义知识点')))) AS labels FROM questions"""
 )
 def question_knowledge(spark: SparkSession, folder: str) -> DataFrame:
     """Distinct labels of the knowledge tags of every question."""
-    mine = F.filter("tags", lambda t: t["dimension"] == "knowledge")
-    return questions(spark, folder).select("question_id", F.array_sort(F.array_distinct(F.transform(mine, lambda t: labels.label("knowledge", t["name"], t["name"])))).alias("labels"))
+    mine = F.filter("tags", lambda t: (t["dimension"] == "knowledge") & (t["name"] != ""))
+    return questions(spark, folder).select("question_id", F.array_sort(F.array_distinct(F.transform(mine, lambda t: labels.label("knowledge", t["name"])))).alias("labels"))
 
 
 @query(
     BASE
     + f""", g AS (SELECT coalesce(nullif(student_ref, ''), 'anonymous-student') AS student_ref, count(DISTINCT attempt_id) AS attempts, coalesce(sum(score_u), 0) AS e, coalesce(sum(max_u) FILTER (score_u IS NOT NULL), 0) AS m,
 count(*) FILTER (score_u IS NULL) AS unscored, count(*) FILTER (is_correct = false) AS incorrect, count(DISTINCT question_id) FILTER (is_correct = false) AS incorrect_questions FROM p GROUP BY 1)
-SELECT student_ref, attempts, CAST(e AS DOUBLE) / 1000000 AS scored_score, CAST(m AS DOUBLE) / 1000000 AS scored_max, unscored, incorrect, incorrect_questions, CASE WHEN m > 0 THEN {percent_sql("e", "m")} END AS score_rate FROM g"""
+SELECT student_ref, attempts, CAST(e AS DOUBLE) / 1000000 AS scored_score, CAST(m AS DOUBLE) / 1000000 AS scored_max, unscored, incorrect, incorrect_questions, CASE WHEN m > 0 THEN {round_sql("CAST(e AS DOUBLE) / CAST(m AS DOUBLE) * 100")} END AS score_rate FROM g"""
 )
 def student_summary(spark: SparkSession, folder: str) -> DataFrame:
     """Figures of every student over all attempts."""
@@ -161,7 +161,7 @@ def student_summary(spark: SparkSession, folder: str) -> DataFrame:
 def _top_sql(array: str, condition: str) -> str:
     return (
         BASE
-        + f""", c AS (SELECT student_ref, u.name AS name, count(*) AS n FROM (SELECT student_ref, unnest({array}) AS u FROM p WHERE is_correct = false AND student_ref IS NOT NULL) WHERE u.name IS NOT NULL AND {condition} GROUP BY ALL)
+        + f""", c AS (SELECT student_ref, u.name AS name, count(*) AS n FROM (SELECT coalesce(student_ref, 'anonymous-student') AS student_ref, unnest({array}) AS u FROM p WHERE is_correct = false) WHERE u.name IS NOT NULL AND {condition} GROUP BY ALL)
 SELECT student_ref, name, n, CAST(row_number() OVER (PARTITION BY student_ref ORDER BY n DESC, name) AS INT) AS "position" FROM c QUALIFY row_number() OVER (PARTITION BY student_ref ORDER BY n DESC, name) <= 2"""
     )
 
@@ -185,10 +185,14 @@ def student_names(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("student_ref").agg(F.min("student_name").alias("name"), F.count_distinct("student_name").alias("names")).withColumn("conflict", F.col("names") > 1)
 
 
-@query(BASE + "SELECT (SELECT count(*) FROM a) AS student_count, (SELECT count(DISTINCT class_id) FROM a) AS class_count, count(*) AS responses, count(*) FILTER (score_u IS NOT NULL) AS scored FROM j")
+@query(
+    BASE
+    + f""", t AS (SELECT count(*) AS n, count(*) FILTER (score_u IS NOT NULL) AS s, count(*) FILTER (score_u IS NOT NULL AND is_correct = false) AS w, coalesce(sum(score_u), 0) AS e, coalesce(sum(max_u) FILTER (score_u IS NOT NULL), 0) AS m FROM j)
+SELECT (SELECT count(*) FROM a) AS student_count, (SELECT count(DISTINCT class_id) FROM a) AS class_count, n AS responses, s AS scored, n - s AS unscored, w AS incorrect, {percent_sql("w", "s")} AS incorrect_rate, {percent_sql("e", "m")} AS score_rate FROM t"""
+)
 def report_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """The head figures of a report."""
-    return statistics.report_metrics(joined(spark, folder, "question_id"), attempts(spark, folder))
+    return statistics.report_metrics(joined(spark, folder, "is_correct"), attempts(spark, folder))
 
 
 @query(
@@ -206,7 +210,7 @@ def student_reviews(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     BASE
-    + f""", g AS (SELECT q.question_id, any_value(q.tags) AS tags, count(j.response_id) AS responses, count(*) FILTER (j.score_u IS NOT NULL) AS scored, count(*) FILTER (j.score_u IS NOT NULL AND j.is_correct) AS correct,
+    + f""", g AS (SELECT q.question_id, any_value(q.tags) AS tags, count(j.response_id) AS responses, count(*) FILTER (j.score_u IS NOT NULL) AS scored, count(*) FILTER (j.is_correct) AS correct,
 count(*) FILTER (j.review_status IN ('needs_review', 'provisional')) AS review_count, CAST(coalesce(sum(j.max_u - j.score_u) FILTER (j.score_u IS NOT NULL), 0) AS DOUBLE) / 1000000 AS lost_score
 FROM questions q LEFT JOIN j USING (question_id) GROUP BY 1),
 k AS (SELECT question_id, arg_min(u.name, (-coalesce(u.confidence, 1.0), i)) AS grp FROM (SELECT question_id, unnest(tags) AS u, unnest(range(len(tags))) AS i FROM questions) WHERE u.dimension = 'knowledge' GROUP BY 1)
@@ -315,12 +319,12 @@ def answer_sets(spark: SparkSession, folder: str) -> DataFrame:
     BASE
     + "SELECT name, label, count(*) AS n FROM (SELECT u.name AS name, CASE u.name "
     + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in labels.LABELS["error"].items())
-    + " ELSE '其他' END AS label FROM (SELECT unnest(error_tags) AS u FROM r) WHERE u.name IS NOT NULL) GROUP BY ALL"
+    + " ELSE '其他错因' END AS label FROM (SELECT unnest(error_tags) AS u FROM r) WHERE u.name IS NOT NULL) GROUP BY ALL"
 )
 def label_lookup(spark: SparkSession, folder: str) -> DataFrame:
     """Error tags with their labels; counted before they are labelled."""
     counts = responses(spark, folder, "error_tags").select(F.explode("error_tags").alias("t")).where("t.name is not null").groupBy(F.col("t.name").alias("name")).agg(F.count("*").alias("n"))
-    return counts.select("name", labels.label("error", F.col("name"), F.lit("其他")).alias("label"), "n")
+    return counts.select("name", labels.label("error", F.col("name")).alias("label"), "n")
 
 
 @query(

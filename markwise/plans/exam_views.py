@@ -59,6 +59,13 @@ p AS (SELECT j.*, a.student_ref, a.class_id FROM j JOIN a USING (attempt_id))
 """
 
 
+def round_sql(value: str) -> str:
+    """A double rounded to one place as Python does, half to even on its exact binary value, in DuckDB's SQL."""
+    tenths = f"(CAST(format('{{:.20f}}', {value}) AS DECIMAL(38,20)) * 10)"
+    whole = f"floor({tenths})"
+    return f"CAST(CASE WHEN {tenths} - {whole} > 0.5 THEN {whole} + 1 WHEN {tenths} - {whole} < 0.5 THEN {whole} ELSE {whole} + {whole} % 2 END AS DOUBLE) / 10"
+
+
 def percent_sql(part: str, whole: str) -> str:
     """100 * part / whole rounded half up to two places, in DuckDB's SQL."""
     return f"CASE WHEN {whole} = 0 THEN CAST(0 AS DOUBLE) ELSE CAST((CAST({part} AS HUGEINT) * 20000 + {whole}) // (CAST({whole} AS HUGEINT) * 2) AS DOUBLE) / 100.0 END"

@@ -62,9 +62,13 @@ def test_has_offset_datetime(spark):
 def test_cells_labels_and_escapes(spark):
     assert one(spark, text.csv_cell, "=1", ' "x"', " -1", "\tx", None, "a") == ["\"'=1\"", '" ""x"""', "\"' -1\"", "\"'\tx\"", '""', '"a"']
     assert one(spark, text.html_escaped, "<a&'\">", None) == ["&lt;a&amp;&#39;&quot;&gt;", "—"]
-    assert one(spark, lambda c: labels.label("error", c, F.lit("?")), "sign-error", "new", None) == ["符号错误", "?", "?"]
-    assert one(spark, lambda c: labels.label("error", c, F.lit("?"), F.lit("")), "sign-error") == ["符号错误"]
-    assert one(spark, lambda c: labels.subject_label(c, F.lit("?")), "math", "八年级数学", "Math", "x") == ["数学", "数学", "数学", "?"]
+    assert one(spark, lambda c: labels.label("error", c), "sign-error", "new", None) == ["符号错误", "其他错因", "其他错因"]
+    assert one(spark, lambda c: labels.label("error", c, F.lit("")), "sign-error") == ["符号错误"]
+    assert one(spark, lambda c: labels.label("knowledge", c, F.lit("own")), "sign-error") == ["own"]
+    assert one(spark, lambda c: labels.label("review_reason", c), "unanswered", "x") == ["学生未作答", "其他需要人工确认的情况"]
+    assert one(spark, labels.subject_label, "math", " 八年级数学", "Math", "x", None) == ["数学", "数学", "其他学科", "其他学科", "其他学科"]
+    assert one(spark, labels.grade_label, "grade-8", "初二", "八年级", "x") == ["八年级", "八年级", "八年级", "年级待确认"]
+    assert one(spark, lambda c: labels.question_label(c.try_cast("int")), "3", None) == ["第 3 题", "题号待确认"]
 
 
 def test_weighted_jaccard_and_cosine(spark):
