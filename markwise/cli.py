@@ -7,7 +7,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from markwise.plans import class_report, data_queries, exam_queries, review_queries
+from markwise.plans import class_report, data_queries, exam_queries, review_queries, rule_queries
 from markwise.sources import report
 
 
@@ -27,7 +27,7 @@ def main(arguments: list[str]) -> int:
         if given.command == "report":
             print(report.write(report.render(class_report.report_model(spark, given.folder, given.class_id, rows_to=f"{given.out}.rows")), given.out)["report"])
         else:
-            known = exam_queries.queries() | data_queries.queries() | review_queries.queries()
+            known = exam_queries.queries() | data_queries.queries() | review_queries.queries() | rule_queries.queries()
             if given.name not in known:
                 raise ValueError(f"no query {given.name}")
             known[given.name](spark, given.folder).write.mode("overwrite").parquet(given.out)

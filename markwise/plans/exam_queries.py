@@ -379,7 +379,7 @@ c AS (SELECT 'error-' || left(sha256('error:' || lower(name)), 16) AS id, 'error
 @query(TAGGED + "SELECT id, dimension, name, display_name, evidence FROM c")
 def vocabulary_candidates(spark: SparkSession, folder: str) -> DataFrame:
     """Error tags as vocabulary candidates with their evidence."""
-    return vocabulary.candidates(_tags(spark, folder))
+    return vocabulary.candidates(_tags(spark, folder)).drop("definition")
 
 
 def _tags(spark: SparkSession, folder: str) -> DataFrame:
@@ -387,24 +387,37 @@ def _tags(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("t.dimension", "t.name", F.lit(None).cast("string").alias("display_name"), "at", "question_id", "student_ref")
 
 
+#: Error labels of the query's registry with their states: a third each approved, pending (without a display name) and rejected.
+ITEMS = [(k, v if i % 3 != 1 else "", ("approved", "pending", "rejected")[i % 3]) for i, (k, v) in enumerate(labels.LABELS["error"].items())]
+
+
 def registry(spark: SparkSession) -> DataFrame:
-    """A registry with every fixed error label approved."""
-    rows = [("error", k, v) for k, v in labels.LABELS["error"].items() if k < "m"]
-    base = spark.createDataFrame(rows, "dimension string, name string, display_name string")
-    return base.select(text.candidate_id(F.col("dimension"), F.col("name")).alias("id"), "dimension", "name", "display_name", F.lit("approved").alias("status"), F.lit(0).cast("bigint").alias("evidence"))
+    """A registry of all fixed error labels, in every state."""
+    base = spark.createDataFrame(ITEMS, "name string, display_name string, status string")
+    return base.select(text.candidate_id(F.lit("error"), F.col("name")).alias("id"), F.lit("error").alias("dimension"), "name", "display_name", "status", F.lit(0).cast("bigint").alias("evidence"))
 
 
-REGISTRY = ", g AS (SELECT 'error-' || left(sha256('error:' || name), 16) AS id, 'error' AS dimension, name, display_name, 'approved' AS status, CAST(0 AS BIGINT) AS evidence FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in labels.LABELS["error"].items() if k < "m") + ") AS v(name, display_name))\n"
+REGISTRY = ", g AS (SELECT 'error-' || left(sha256('error:' || name), 16) AS id, 'error' AS dimension, name, display_name, status, CAST(0 AS BIGINT) AS evidence FROM (VALUES " + ", ".join(f"('{k}', '{v}', '{s}')" for k, v, s in ITEMS) + ") AS v(name, display_name, status))\n"
 
 
 @query(
     TAGGED
     + REGISTRY
-    + "SELECT coalesce(g.id, c.id) AS id, coalesce(g.dimension, c.dimension) AS dimension, coalesce(g.name, c.name) AS name, coalesce(g.display_name, c.display_name) AS display_name, coalesce(g.status, 'pending') AS status, coalesce(g.evidence, c.evidence) AS evidence FROM g FULL JOIN c ON g.id = c.id"
+    + """SELECT coalesce(g.id, c.id) AS id, coalesce(g.dimension, c.dimension) AS dimension, coalesce(g.name, c.name) AS name, CASE WHEN g.status = 'pending' THEN coalesce(nullif(g.display_name, ''), c.display_name) ELSE coalesce(g.display_name, c.display_name) END AS display_name,
+coalesce(g.status, 'pending') AS status, CASE WHEN g.status = 'pending' THEN coalesce(c.evidence, g.evidence) ELSE coalesce(g.evidence, c.evidence) END AS evidence FROM g FULL JOIN c ON g.id = c.id"""
 )
 def vocabulary_merge(spark: SparkSession, folder: str) -> DataFrame:
-    """The registry after the candidates are merged in."""
-    return vocabulary.merged(registry(spark), vocabulary_candidates(spark, folder))
+    """The registry after the candidates are merged in twice: the second time the evidence is known."""
+    tags = _tags(spark, folder)
+    found, pairs = vocabulary.candidates(tags), vocabulary.evidence(tags)
+    once = vocabulary.merged(registry(spark), found, pairs.limit(0), pairs)
+    return vocabulary.merged(once, found, pairs, pairs).select("id", "dimension", "name", "display_name", "status", "evidence")
+
+
+@query("SELECT 'error' AS dimension, name, display_name FROM (VALUES " + ", ".join(f"('{k}', '{v}', '{s}')" for k, v, s in ITEMS) + ") AS v(name, display_name, status) WHERE status = 'approved'")
+def vocabulary_approved(spark: SparkSession, folder: str) -> DataFrame:
+    """The approved labels of the registry."""
+    return vocabulary.approved(registry(spark))
 
 
 @query(

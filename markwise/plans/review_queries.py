@@ -127,11 +127,11 @@ def review_decision_faults(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     REVIEW
-    + """, k AS (SELECT s.record_id, s.attempt_id, s.question_id, s.attempt_pos * 100000 + s.response_pos AS at, s.decision, CASE WHEN s.decision = 'modify' THEN s.new END AS changed, l.own AS first_score, l.status AS began,
+    + """, k AS (SELECT s.record_id, s.attempt_id, s.question_id, s.attempt_pos * 100000 + s.response_pos AS spot, s.decision, CASE WHEN s.decision = 'modify' THEN s.new END AS changed, l.own AS first_score, l.status AS began,
 CASE WHEN s.decision = 'reject' THEN 'rejected' ELSE 'teacher_confirmed' END AS state FROM s JOIN l ON s.record_id = l.record_id AND s.attempt_id IS NOT DISTINCT FROM l.attempt_id AND s.question_id IS NOT DISTINCT FROM l.question_id WHERE s.decision IS NOT NULL),
-f AS (SELECT *, coalesce(last_value(changed IGNORE NULLS) OVER (PARTITION BY record_id, attempt_id, question_id ORDER BY \"at\"), first_score) AS later FROM k)
-SELECT record_id, attempt_id, question_id, at, CAST(CASE WHEN row_number() OVER chain = 1 THEN first_score ELSE lag(later) OVER chain END AS DOUBLE) AS score_before, CAST(later AS DOUBLE) AS score_after, coalesce(lag(state) OVER chain, began) AS status_before, state AS status_after
-FROM f WINDOW chain AS (PARTITION BY record_id, attempt_id, question_id ORDER BY \"at\")"""
+f AS (SELECT *, coalesce(last_value(changed IGNORE NULLS) OVER (PARTITION BY record_id, attempt_id, question_id ORDER BY spot), first_score) AS later FROM k)
+SELECT record_id, attempt_id, question_id, spot AS "at", CAST(CASE WHEN row_number() OVER chain = 1 THEN first_score ELSE lag(later) OVER chain END AS DOUBLE) AS score_before, CAST(later AS DOUBLE) AS score_after, coalesce(lag(state) OVER chain, began) AS status_before, state AS status_after
+FROM f WINDOW chain AS (PARTITION BY record_id, attempt_id, question_id ORDER BY spot)"""
 )
 def review_applied(spark: SparkSession, folder: str) -> DataFrame:
     """Scores and states before and after each decision of a teacher."""

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA = "id string, dimension string, name string, display_name string, status string, evidence bigint"
+SCHEMA = "id string, dimension string, name string, display_name string, definition string, status string, evidence bigint, created_at string, updated_at string, reviewed_at string, review_source string"
 
 
 def registry_faults(items: DataFrame) -> DataFrame:
@@ -17,6 +17,7 @@ def registry_faults(items: DataFrame) -> DataFrame:
         "dimension": ~F.coalesce(F.col("dimension").isin("error", "knowledge"), F.lit(False)),
         "name": F.coalesce(F.trim("name"), F.lit("")) == "",
         "display name": F.coalesce(F.trim("display_name"), F.lit("")) == "",
+        "created": F.col("created_at").isNull() | F.col("updated_at").isNull(),
         "status": ~F.coalesce(F.col("status").isin("pending", "approved", "rejected"), F.lit(False)),
     }
     single = items.select("id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(r)) for r, c in rules.items()]))).alias("rule"))

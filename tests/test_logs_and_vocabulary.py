@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from markwise.functions.hashing import digest
 from markwise.operators import audit, documents, statistics, validation, vocabulary
 from markwise.plans.exam_views import joined
+from markwise.sources.registry import SCHEMA
 
 
 def test_chain_breaks_where_it_was_changed(spark):
@@ -22,8 +23,12 @@ def test_chain_breaks_where_it_was_changed(spark):
 
 def test_document_logs(spark):
     base = {"x": 1.0, "audit_log": [{"event_id": "e1", "event_type": "t", "payload_hash": "p", "timestamp": "2026"}]}
-    fixed = documents.relinked(base, "e2", "2026-01-01T00:00:00Z")
-    assert documents.log_faults(fixed) == [] and len(fixed["audit_log"]) == 2
+    bare = spark.createDataFrame([("ok", json.dumps(base))], "doc_id string, payload string")
+    fixed = json.loads(documents.repaired(bare, "2026-01-01T00:00:00Z").first()["payload"])
+    assert documents.verified(bare).count() == 2 and len(fixed["audit_log"]) == 2
+    assert documents.verified(spark.createDataFrame([("ok", json.dumps(documents.with_event(fixed, {"event_id": "e3"})))], "doc_id string, payload string")).count() == 0
+    odd = fixed | {"audit_log": [fixed["audit_log"][0], 5, fixed["audit_log"][1]]}
+    assert {r["fault"] for r in documents.verified(spark.createDataFrame([("odd", json.dumps(odd))], "doc_id string, payload string")).collect()} == {"audit_log[1]: no object"}
     frame = spark.createDataFrame([("ok", json.dumps(fixed)), ("state", json.dumps(fixed | {"x": 2})), ("none", "{}"), ("broken", "{"), ("null", None)], "doc_id string, payload string")
     got = {(r["doc_id"], r["fault"]) for r in documents.verified(frame).collect()}
     assert got == {("state", "audit_log: state differs"), ("none", "audit_log: empty"), ("broken", "payload: no JSON object"), ("null", "payload: no JSON object")}
@@ -40,14 +45,20 @@ def test_vocabulary_life_cycle(spark):
     found = vocabulary.candidates(tags)
     row = found.collect()
     assert len(row) == 1 and (row[0]["name"], row[0]["display_name"], row[0]["evidence"]) == ("new slip", "First", 2)
-    registry = vocabulary.merged(spark.createDataFrame([], "id string, dimension string, name string, display_name string, status string, evidence bigint"), found)
-    assert registry.first()["status"] == "pending"
+    registry = vocabulary.merged(spark.createDataFrame([], SCHEMA), found, at="2026-01-01")
+    assert (registry.first()["status"], registry.first()["created_at"]) == ("pending", "2026-01-01")
+    pairs = vocabulary.evidence(tags)
+    more = tags.unionByName(spark.createDataFrame([("error", "NEW SLIP", None, 9, "q3", "s9")], tags.schema))
+    once = vocabulary.merged(registry, vocabulary.candidates(more), pairs, vocabulary.evidence(more))
+    assert once.first()["evidence"] == 3 == vocabulary.merged(once, vocabulary.candidates(more), vocabulary.evidence(more), vocabulary.evidence(more)).first()["evidence"]
     item = row[0]["id"]
     decisions = spark.createDataFrame([(item, 1, "later", "?"), (item, 2, "approve", "Renamed"), (item, 3, "reject", ""), ("x", 1, "approve", "")], "id string, at long, decision string, display_name string")
     done = vocabulary.decided(registry, decisions)
     assert (done.first()["status"], done.first()["display_name"]) == ("approved", "Renamed")
     assert vocabulary.decided(done, decisions.where("decision = 'reject'")).first()["status"] == "approved"
     assert vocabulary.merged(done, found).first()["evidence"] == 2
+    assert tuple(vocabulary.decision_counts(registry, decisions).first()) == (1, 3)
+    assert [tuple(r) for r in vocabulary.approved(done).collect()] == [("error", "new slip", "Renamed")] and vocabulary.approved(registry).count() == 0
 
 
 def test_statistics_of_nothing(spark, data):

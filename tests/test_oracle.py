@@ -1,10 +1,10 @@
 import pytest
 from oracle import same, views
 
-from markwise.plans import data_queries, exam_queries, review_queries
+from markwise.plans import data_queries, exam_queries, review_queries, rule_queries
 
-SQL = exam_queries.oracle_sql() | data_queries.oracle_sql() | review_queries.oracle_sql()
-QUERIES = exam_queries.queries() | data_queries.queries() | review_queries.queries()
+SQL = exam_queries.oracle_sql() | data_queries.oracle_sql() | review_queries.oracle_sql() | rule_queries.oracle_sql()
+QUERIES = exam_queries.queries() | data_queries.queries() | review_queries.queries() | rule_queries.queries()
 
 
 @pytest.fixture(scope="module")

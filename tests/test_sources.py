@@ -24,9 +24,9 @@ def test_documents(spark, tmp_path):
 def test_registry_round_trip(spark, tmp_path):
     path = str(tmp_path / "registry")
     assert registry.load_registry(spark, path).count() == 0
-    items = spark.createDataFrame([("error-1", "error", "n", "d", "pending", 1)], registry.SCHEMA)
+    items = spark.createDataFrame([("error-1", "error", "n", "d", None, "pending", 1, "2026", "2026", None, None)], registry.SCHEMA)
     registry.save_registry(items, path)
-    registry.save_registry(items.unionByName(spark.createDataFrame([("error-2", "error", "m", "d", "approved", 1)], registry.SCHEMA)), path)
+    registry.save_registry(items.unionByName(spark.createDataFrame([("error-2", "error", "m", "d", "x", "approved", 1, "2026", "2026", "2026", "teacher")], registry.SCHEMA)), path)
     assert registry.load_registry(spark, path).count() == 2
     with pytest.raises(ValueError, match="id repeated"):
         registry.save_registry(items.unionByName(items), path)
