@@ -185,6 +185,41 @@ def paper_questions(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("record_id", "question_id", "q.number", labels.question_label(F.col("q.number")).alias("label"), "q.max_score")
 
 
+_FINAL = SQL["review_final_scores"].rsplit("SELECT", 1)
+EXPORT_FINAL = (
+    _FINAL[0]
+    + ", fin AS (SELECT"
+    + _FINAL[1]
+    + """), bad AS (SELECT s.record_id, coalesce(nullif(student_ref, ''), 'anonymous-student') AS student_ref, array_to_string(list_transform(list_sort(list(DISTINCT number)), lambda i: '第 ' || i || ' 题'), '、') AS questions FROM s JOIN n USING (record_id, question_id)
+LEFT JOIN d ON d.record_id = s.record_id AND d.attempt_id IS NOT DISTINCT FROM s.attempt_id AND d.question_id IS NOT DISTINCT FROM s.question_id WHERE coalesce(d.new, own) < coalesce(top, 0) GROUP BY ALL)
+SELECT record_id, student_ref, coalesce(questions, '无') AS wrong_questions, score, maximum, rate, remaining, unscored, CASE WHEN ready THEN '可发布' ELSE '暂不可发布' END AS state FROM fin LEFT JOIN bad USING (record_id, student_ref)"""
+)
+
+
+@query(EXPORT_FINAL)
+def export_final(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of the final score list of every record."""
+    t = Records(spark, folder)
+    decided = t.decided()
+    wrong = review.final_incorrect(t.attempts, t.responses, t.questions, decided)
+    named = F.array_join(F.transform(F.split("questions", ","), lambda n: labels.question_label(n)), "、")
+    rows = review.final_scores(t.attempts, t.responses, t.questions, t.queue, decided).join(wrong, ["record_id", "student_ref"], "left")
+    return rows.select("record_id", "student_ref", F.coalesce(named, F.lit("无")).alias("wrong_questions"), "score", "maximum", "rate", "remaining", "unscored", F.when(F.col("ready"), "可发布").otherwise("暂不可发布").alias("state"))
+
+
+@query(
+    REVIEW
+    + """SELECT s.record_id, c.p ->> '$.organization_id' AS organization_id, c.p ->> '$.analysis_id' AS analysis_id, count(*) AS decisions,
+string_agg(s.attempt_id || '::' || s.question_id || '=' || s.decision, '|' ORDER BY s.attempt_id || '::' || s.question_id || '=' || s.decision) AS listed FROM s JOIN c USING (record_id) WHERE decision IS NOT NULL GROUP BY ALL"""
+)
+def export_decisions(spark: SparkSession, folder: str) -> DataFrame:
+    """The decisions of every record by key, bound to its organisation and analysis."""
+    t = Records(spark, folder)
+    line = F.concat("attempt_id", F.lit("::"), "question_id", F.lit("="), "decision")
+    rows = t.decisions().groupBy("record_id").agg(F.count("*").alias("decisions"), F.array_join(F.array_sort(F.collect_list(line)), "|").alias("listed"))  # the reviewed responses of one record
+    return rows.join(t.records.select("record_id", "organization_id", "analysis_id"), "record_id").select("record_id", "organization_id", "analysis_id", "decisions", "listed")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
     return dict(QUERIES)
