@@ -1,52 +1,89 @@
-"""Comparison of answers with their references by type of question."""
+"""Comparison of answers with their references by type of question, and what the comparison is worth."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from markwise.functions.numeric import to_decimal
 from markwise.functions.text import answer_set, normalize_text, number_part, unit_part
 
 
+def entries(text: Column) -> Column:
+    """The entries of an answer that is a list: a JSON list of texts, numbers and truth values; null for anything else."""
+    return F.when(text.rlike(r"\A\s*\["), F.from_json(text, "array<string>"))
+
+
+def own_entries(text: Column, steps: Column) -> Column:
+    """The entries of a list, the steps of a text (separated by semicolons), or another text as a list of one; null entries are empty."""
+    parts = F.filter(F.transform(F.split(text, "[;；]"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.transform(F.coalesce(entries(text), F.when(steps, parts), F.array(text)), lambda i: F.coalesce(i, F.lit("")))
+
+
 def matching_prefix(given: Column, wanted: Column) -> Column:
-    """How many leading items of two arrays are equal."""
-    pairs = F.zip_with(given, wanted, lambda a, b: a.eqNullSafe(b))
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, e: F.struct((s["n"] + (s["on"] & e).cast("int")).alias("n"), (s["on"] & e).alias("on")))["n"]
+    """How many leading items of two arrays are equal; what one array lacks differs."""
+    return F.aggregate(
+        F.zip_with(given, wanted, lambda a, b: F.coalesce(a == b, F.lit(False))),
+        F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")),
+        lambda s, same: F.struct((s["n"] + (s["on"] & same).cast("int")).alias("n"), (s["on"] & same).alias("on")),
+    )["n"]
 
 
-def steps(text: Column) -> Column:
-    """Normalised steps of an answer, separated by semicolons."""
-    return F.filter(F.transform(F.split(text, "[;；]"), lambda x: F.trim(x)), lambda x: x != "")
+def _listed(df: DataFrame, text: str, out: str) -> DataFrame:
+    """``df`` with an array of normalised entries; each entry is normalised in a row of its own, so that it may hold any text."""
+    spread = df.select("__row", F.posexplode_outer(own_entries(F.col(text), F.col("question_type") == "ordered_steps")).alias("at", "item")).withColumn("item", normalize_text(F.col("item")))
+    lists = spread.groupBy("__row").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "item")))), lambda s: s["item"]).alias(out))  # the entries of one answer
+    return df.join(lists, "__row", "left")
 
 
-def compared(rows: DataFrame, tolerance: float = 0.0) -> DataFrame:
-    """``rows`` (question_type, normalized_answer, reference_answer) with matches, match_share and match_note.
+def compared(rows: DataFrame, key: str = "response_id") -> DataFrame:
+    """``rows`` (``key``, question_type, normalized_answer, reference_answer, max_score and perhaps tolerance and unit_required) with
+    matches, match_share, match_note, points, certainty and error_step.
 
-    Texts are normalised once per side. Single choice, true or false, blanks and formulas match when equal; multiple
-    choice when the sets of items are equal; numbers within ``tolerance`` and, where the reference has a unit, with an
-    equal unit; ordered steps by the share of leading steps. Null match: no reference, a number that cannot be read, or
-    a type without a rule. An empty answer never matches.
+    Texts are normalised once per side. Single choice, true or false, blanks and formulas match when equal; blanks with a list of
+    references when the lists are equal entry by entry; multiple choice when the sets of items are equal; numbers within the
+    tolerance and, where a unit is required (by default: where the reference has one), with an equal unit; ordered steps by the
+    share of leading steps; the steps of a plain text are separated by semicolons. ``error_step`` is the first step that differs (1 for other types), null
+    for a full match. Nothing is decided, and certainty is null, without a reference and for types without a rule; a number that
+    cannot be read has certainty 0.5 and no points. A missing or empty answer has no points. ``points`` are the share of
+    max_score, rounded half up to two places for steps. ``key`` must be unique.
     """
-    df = rows.withColumns({"__a": normalize_text(F.col("normalized_answer")), "__r": normalize_text(F.col("reference_answer"))})
+    df = rows.withColumns({"__row": F.col(key), "__a": normalize_text(F.col("normalized_answer")), "__r": normalize_text(F.col("reference_answer"))})
+    several = entries(F.col("reference_answer")).isNotNull() | entries(F.col("normalized_answer")).isNotNull()
+    by_list = F.col("question_type").isin("ordered_steps", "fill_blank", "multiple_choice") & ((F.col("question_type") == "ordered_steps") | several)
+    listed = _listed(_listed(df.where(by_list), "normalized_answer", "__given"), "reference_answer", "__wanted")
+    df = df.where(~F.coalesce(by_list, F.lit(False))).withColumns({"__given": F.lit(None).cast("array<string>"), "__wanted": F.lit(None).cast("array<string>")}).unionByName(listed)
+
     a, r, kind = F.col("__a"), F.col("__r"), F.col("question_type")
-    near = F.abs(number_part(a) - number_part(r)) <= F.lit(tolerance).cast("decimal(20,6)")
-    unit = (unit_part(r) == "") | (unit_part(a) == unit_part(r))
+    limit = F.coalesce(to_decimal(F.col("tolerance")), F.lit(0)) if "tolerance" in rows.columns else F.lit(0).cast("decimal(20,6)")
+    near = F.abs(number_part(a) - number_part(r)) <= limit
+    needs = F.coalesce(F.col("unit_required"), unit_part(r) != "") if "unit_required" in rows.columns else unit_part(r) != ""
+    unit = ~needs | (unit_part(a) == unit_part(r))
     readable = number_part(a).isNotNull() & number_part(r).isNotNull()
-    given, wanted = steps(a), steps(r)
-    prefix = matching_prefix(F.slice(given, F.lit(1), F.least(F.size(given), F.size(wanted))), F.slice(wanted, F.lit(1), F.least(F.size(given), F.size(wanted))))
+    items = lambda text, raw, array: F.when(entries(F.col(raw)).isNull(), answer_set(text)).otherwise(F.array_sort(F.array_distinct(F.filter(array, lambda x: x != ""))))
+    n, m = F.size("__wanted"), matching_prefix(F.col("__given"), F.col("__wanted"))
+    missing, empty = F.col("reference_answer").isNull(), F.col("normalized_answer").isNull() | (a == "")
     share = (
-        F.when(F.col("reference_answer").isNull(), None)
-        .when(a == "", 0.0)
+        F.when(missing, None)
+        .when(empty, 0.0)
+        .when((kind == "fill_blank") & F.col("__wanted").isNotNull() & entries(F.col("reference_answer")).isNotNull(), (F.col("__given") == F.col("__wanted")).cast("double"))
         .when(kind.isin("single_choice", "true_false", "fill_blank", "formula"), (a == r).cast("double"))
-        .when(kind == "multiple_choice", (answer_set(a) == answer_set(r)).cast("double"))
+        .when(kind == "multiple_choice", (items(a, "normalized_answer", "__given") == items(r, "reference_answer", "__wanted")).cast("double"))
         .when((kind == "numeric") & readable, (near & unit).cast("double"))
-        .when(kind == "ordered_steps", F.when(F.size(wanted) == 0, 1.0).otherwise(prefix / F.size(wanted)))
+        .when(kind == "ordered_steps", F.when(n == 0, 1.0).otherwise(m / n))
     )
     note = (
-        F.when(F.col("reference_answer").isNull(), "reference missing")
-        .when(a == "", "unanswered")
+        F.when(missing, "reference missing")
+        .when(empty, "unanswered")
         .when((kind == "numeric") & ~readable, "number not readable")
         .when((kind == "numeric") & near & ~unit, "other unit")
-        .when(kind == "subjective", "no rule")
+        .when(~F.coalesce(kind.isin("single_choice", "true_false", "fill_blank", "formula", "multiple_choice", "numeric", "ordered_steps"), F.lit(False)), "no rule")
     )
-    return df.withColumns({"match_share": share, "match_note": note}).withColumn("matches", F.col("match_share") == 1.0).drop("__a", "__r")
+    top = F.coalesce(to_decimal(F.col("max_score")), F.lit(0).cast("decimal(20,6)")) if "max_score" in rows.columns else F.lit(1).cast("decimal(20,6)")
+    steps = F.when(empty | (n == 0), top * (~empty).cast("int")).otherwise(F.round(top * m / n, 2))
+    points = F.when(share.isNull(), None).when(kind == "ordered_steps", steps.cast("double")).otherwise(top.cast("double") * share)
+    certainty = F.when(F.coalesce(note, F.lit("")).isin("reference missing", "no rule"), None).when(F.coalesce(note, F.lit("")) == "number not readable", 0.5).otherwise(1.0)
+    # more steps than wanted err at the first one too many
+    step = F.when(share.isNull(), None).when(empty, 1).when(kind == "ordered_steps", F.when(m < n, m + 1).when(F.size("__given") != n, F.least(F.size("__given"), n) + 1)).when(share < 1.0, 1)
+    done = df.withColumns({"match_share": share, "match_note": note, "points": points, "certainty": certainty, "error_step": step.cast("int")})
+    return done.withColumn("matches", F.col("match_share") == 1.0).drop("__a", "__r", "__row", "__given", "__wanted")
