@@ -40,7 +40,8 @@ def tag_weights(questions: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def edges(weights: DataFrame, threshold: float = 0.2) -> DataFrame:
-    """source, target (source < target), weight: weighted Jaccard per dimension, averaged over the dimensions present.
+    """source, target (source < target), weight and one column per dimension: weighted Jaccard per dimension (null where both
+    questions lack it), averaged over the dimensions present.
 
     Pairs come from an inverted index on shared tags, which finds every pair above 0; ``threshold`` must be positive.
     The sum of the greater weights follows from the two totals less the shared lesser ones, so only shared tags are
@@ -55,16 +56,18 @@ def edges(weights: DataFrame, threshold: float = 0.2) -> DataFrame:
     side = lambda name: totals.select(F.col("question_id").alias(name), *[F.col(d).alias(f"{d}_{name}") for d in WEIGHTS])
     both = shared.join(side("source"), "source").join(side("target"), "target")
     top, bottom = F.lit(0.0), F.lit(0.0)
+    parts = {}
     for d, w in WEIGHTS.items():
         s, t, lo = F.col(f"{d}_source"), F.col(f"{d}_target"), F.col(f"{d}_lo")
         present = (s >= 0) | (t >= 0)
         high = F.greatest(s, F.lit(0.0)) + F.greatest(t, F.lit(0.0)) - lo
+        parts[d] = F.when(present, F.when(high > 0, lo / high).otherwise(0.0))
         top = top + F.when(present & (high > 0), w * lo / high).otherwise(0.0)
         bottom = bottom + F.when(present, w).otherwise(0.0)
-    return both.withColumn("weight", top / bottom).where(F.col("weight") >= threshold).select("source", "target", F.round(F.col("weight").cast("decimal(18,9)"), 4).cast("double").alias("weight"))
+    rounded = lambda value: F.round(value.cast("decimal(18,9)"), 4).cast("double")
+    return both.withColumn("weight", top / bottom).where(F.col("weight") >= threshold).select("source", "target", rounded(F.col("weight")).alias("weight"), *[rounded(part).alias(d) for d, part in parts.items()])
 
 
-def strongest(found: DataFrame, most: int = 5) -> DataFrame:
-    """The strongest edges of every question, from either end: question_id, other, weight, position."""
-    ends = found.select(F.col("source").alias("question_id"), F.col("target").alias("other"), "weight").unionByName(found.select(F.col("target").alias("question_id"), F.col("source").alias("other"), "weight"))
-    return ends.withColumn("position", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("weight"), "other"))).where(F.col("position") <= most)
+def legend(nodes: DataFrame) -> DataFrame:
+    """grp, nodes, responses, review_count of every group of nodes: what a viewer can filter by, with its size."""
+    return nodes.groupBy("grp").agg(F.count("*").alias("nodes"), F.sum("responses").alias("responses"), F.sum("review_count").alias("review_count"))

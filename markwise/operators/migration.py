@@ -39,3 +39,51 @@ def migrated(old: DataFrame) -> DataFrame:
         question_type(F.col("question_type")).alias("question_type"), F.col("student_answer").alias("normalized_answer"), "reference_answer", top.cast("double").alias("max_score"), score.cast("double").alias("score"),
         (score == top).alias("is_correct"), F.col("ocr_confidence").alias("ocr"), F.col("grading_confidence").alias("grading"), review_status(F.col("review_status")).alias("review_status"), F.lit("migrated_from_v1").alias("review_reason"),
     )
+
+
+_TAGS = "array<struct<dimension:string,name:string,confidence:double>>"
+
+
+def split_tags(tags: Column) -> tuple[Column, Column]:
+    """The tags of a question (knowledge, cognitive) and those of the response (error) from the mixed tags of an old answer."""
+    all_ = F.coalesce(tags, F.array().cast(_TAGS))
+    of = lambda *kinds: F.filter(all_, lambda t: F.coalesce(t["dimension"].isin(*kinds), F.lit(False)))
+    return of("knowledge", "cognitive"), of("error")
+
+
+def migrated_evidence(question_id: Column, evidence: Column) -> Column:
+    """Old evidence (array of observed, explanation, step as text, confidence) in the current form.
+
+    Ids are numbered from 1 within the question; the first is causal, the others follow from it; a step is kept if it is whole.
+    """
+    def one(e: Column, i: Column) -> Column:
+        step = F.when(e["step"].rlike(r"^-?\d+$"), e["step"].try_cast("int"))
+        return F.struct(
+            F.concat(F.lit("ev-"), question_id, F.lit("-"), (i + 1).cast("string")).alias("evidence_id"), F.coalesce(e["observed"], F.lit("")).alias("observed"), F.coalesce(e["explanation"], F.lit("")).alias("explanation"),
+            F.when(i == 0, "causal").otherwise("consequential").alias("causal_role"), step.alias("step"), e["confidence"].alias("confidence"),
+        )
+
+    return F.transform(F.coalesce(evidence, F.array().cast("array<struct<observed:string,explanation:string,step:string,confidence:double>>")), one)
+
+
+def old_papers(old: DataFrame) -> DataFrame:
+    """attempt_id, student_ref, answers, max_score, score, without_score: one paper per old attempt, summed exactly.
+
+    Each v1_id once. An attempt named for several students goes to the least.
+    """
+    rows = migrated(old)
+    exact = lambda c: F.col(c).cast("decimal(20,6)")
+    return rows.groupBy("attempt_id").agg(
+        F.min("student_ref").alias("student_ref"), F.count("*").alias("answers"), F.sum(exact("max_score")).cast("double").alias("max_score"), F.coalesce(F.sum(exact("score")), F.lit(0)).cast("double").alias("score"), F.count_if(F.col("score").isNull()).alias("without_score")
+    )
+
+
+def warnings(old: DataFrame) -> DataFrame:
+    """v1_id, warning: what the migration of each old answer had to make up."""
+    rules = {
+        "question type unknown": F.col("question_type").isNull() | ((question_type(F.col("question_type")) == "subjective") & ~F.coalesce(F.lower(F.trim("question_type")).isin("subjective", "essay"), F.lit(False))),
+        "maximum missing": to_decimal(F.col("max_score")).isNull(), "reference missing": F.col("reference_answer").isNull(),
+        "status unknown": ~F.coalesce(F.col("review_status").isin(*STATUSES, "confirmed"), F.lit(False)),
+    }
+    found = F.array_compact(F.array(*[F.when(c, F.lit(w)) for w, c in rules.items()]))
+    return old.dropDuplicates(["v1_id"]).select("v1_id", F.explode(found).alias("warning"))

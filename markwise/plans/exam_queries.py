@@ -229,18 +229,24 @@ w AS (SELECT * FROM own UNION ALL SELECT * FROM err),
 t AS (SELECT question_id, dimension, sum(weight) AS total FROM w GROUP BY ALL),
 s AS (SELECT x.question_id AS source, y.question_id AS target, dimension, sum(least(x.weight, y.weight)) AS lo FROM w x JOIN w y USING (dimension, name) WHERE x.question_id < y.question_id GROUP BY ALL),
 pairs AS (SELECT DISTINCT source, target FROM s), dims AS (SELECT * FROM (VALUES ('knowledge', 0.55), ('cognitive', 0.28), ('error', 0.17)) AS v(dimension, share)),
-f AS (SELECT source, target, share, coalesce(lo, 0) AS lo, x.total AS a, y.total AS b FROM pairs CROSS JOIN dims LEFT JOIN s USING (source, target, dimension)
+f AS (SELECT source, target, dims.dimension AS dimension, share, coalesce(lo, 0) AS lo, x.total AS a, y.total AS b FROM pairs CROSS JOIN dims LEFT JOIN s USING (source, target, dimension)
   LEFT JOIN t x ON x.question_id = source AND x.dimension = dims.dimension LEFT JOIN t y ON y.question_id = target AND y.dimension = dims.dimension),
-e AS (SELECT source, target, sum(CASE WHEN coalesce(a, 0) + coalesce(b, 0) - lo > 0 THEN CAST(share AS DOUBLE) * lo / (coalesce(a, 0) + coalesce(b, 0) - lo) ELSE 0 END) FILTER (a IS NOT NULL OR b IS NOT NULL) / sum(CAST(share AS DOUBLE)) FILTER (a IS NOT NULL OR b IS NOT NULL) AS weight FROM f GROUP BY ALL)
+e AS (SELECT source, target, max(CASE WHEN a IS NOT NULL OR b IS NOT NULL THEN CASE WHEN coalesce(a, 0) + coalesce(b, 0) - lo > 0 THEN CAST(lo AS DOUBLE) / (coalesce(a, 0) + coalesce(b, 0) - lo) ELSE 0 END END) FILTER (dimension = 'knowledge') AS knowledge, max(CASE WHEN a IS NOT NULL OR b IS NOT NULL THEN CASE WHEN coalesce(a, 0) + coalesce(b, 0) - lo > 0 THEN CAST(lo AS DOUBLE) / (coalesce(a, 0) + coalesce(b, 0) - lo) ELSE 0 END END) FILTER (dimension = 'cognitive') AS cognitive, max(CASE WHEN a IS NOT NULL OR b IS NOT NULL THEN CASE WHEN coalesce(a, 0) + coalesce(b, 0) - lo > 0 THEN CAST(lo AS DOUBLE) / (coalesce(a, 0) + coalesce(b, 0) - lo) ELSE 0 END END) FILTER (dimension = 'error') AS error, sum(CASE WHEN coalesce(a, 0) + coalesce(b, 0) - lo > 0 THEN CAST(share AS DOUBLE) * lo / (coalesce(a, 0) + coalesce(b, 0) - lo) ELSE 0 END) FILTER (a IS NOT NULL OR b IS NOT NULL) / sum(CAST(share AS DOUBLE)) FILTER (a IS NOT NULL OR b IS NOT NULL) AS weight FROM f GROUP BY ALL)
 """
 
 
-@query(BASE + EDGES + "SELECT source, target, CAST(round(CAST(weight AS DECIMAL(18,9)), 4) AS DOUBLE) AS weight FROM e WHERE weight >= 0.2")
+@query(BASE + EDGES + "SELECT source, target, CAST(round(CAST(weight AS DECIMAL(18,9)), 4) AS DOUBLE) AS weight, " + ", ".join(f"CAST(round(CAST({d} AS DECIMAL(18,9)), 4) AS DOUBLE) AS {d}" for d in graph.WEIGHTS) + " FROM e WHERE weight >= 0.2")
 def graph_edges(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of questions with a similarity of at least 0.2."""
     return graph.edges(graph.tag_weights(questions(spark, folder), joined(spark, folder, "error_tags")))
 
 
+@query("SELECT grp, count(*) AS nodes, CAST(sum(responses) AS BIGINT) AS responses, CAST(sum(review_count) AS BIGINT) AS review_count FROM (" + SQL["graph_nodes"] + ") GROUP BY 1")
+def graph_legend(spark: SparkSession, folder: str) -> DataFrame:
+    """The groups of the graph with their sizes."""
+    return graph.legend(graph_nodes(spark, folder))
+
+
 @query(
     """WITH t AS (SELECT x.question_id, x.paper_id, u.name AS name, arg_max(coalesce(u.confidence, 1.0), i) AS weight FROM (SELECT question_id, paper_id, unnest(tags) AS u, unnest(range(len(tags))) AS i FROM questions) x WHERE u.dimension = 'knowledge' AND u.name IS NOT NULL GROUP BY ALL),
 n AS (SELECT question_id, lead(question_id) OVER (PARTITION BY paper_id ORDER BY question_id) AS following FROM questions),
@@ -434,6 +440,27 @@ def migrate_v1(spark: SparkSession, folder: str) -> DataFrame:
     return migration.migrated(table(spark, folder, "v1_answers"))
 
 
+@query(
+    """WITH o AS (SELECT * FROM v1_answers QUALIFY row_number() OVER (PARTITION BY v1_id ORDER BY exported_at) = 1)
+SELECT attempt_id, min(student_id) AS student_ref, count(*) AS answers, CAST(sum(coalesce(CAST(max_score AS DECIMAL(20,6)), 0)) AS DOUBLE) AS max_score, CAST(coalesce(sum(CAST(score AS DECIMAL(20,6))), 0) AS DOUBLE) AS score, count(*) FILTER (score IS NULL) AS without_score FROM o GROUP BY 1"""
+)
+def old_papers(spark: SparkSession, folder: str) -> DataFrame:
+    """The papers of old attempts with their exact totals."""
+    return migration.old_papers(table(spark, folder, "v1_answers"))
+
+
+@query(
+    """WITH o AS (SELECT * FROM v1_answers QUALIFY row_number() OVER (PARTITION BY v1_id ORDER BY exported_at) = 1),
+k AS (SELECT *, replace(lower(trim(question_type)), ' ', '_') AS k FROM o)
+SELECT v1_id, unnest(list_filter([CASE WHEN k IS NULL OR k NOT IN ('single_choice', 'multiple_choice', 'true_false', 'fill_blank', 'numeric', 'formula', 'ordered_steps', 'subjective', 'essay', 'choice', 'single-choice', 'multiple-choice', 'boolean', 'blank', 'calculation', 'math') THEN 'question type unknown' END,
+CASE WHEN max_score IS NULL THEN 'maximum missing' END, CASE WHEN reference_answer IS NULL THEN 'reference missing' END,
+CASE WHEN review_status IS NULL OR review_status NOT IN ('unreviewed', 'provisional', 'needs_review', 'auto_confirmed', 'teacher_confirmed', 'rejected', 'confirmed') THEN 'status unknown' END], lambda w: w IS NOT NULL)) AS warning FROM k"""
+)
+def migration_warnings(spark: SparkSession, folder: str) -> DataFrame:
+    """What the migration of old answers had to make up."""
+    return migration.warnings(table(spark, folder, "v1_answers"))
+
+
 @query(
     r"""WITH r AS (SELECT * FROM responses QUALIFY row_number() OVER (PARTITION BY response_id ORDER BY ingested_at) = 1),
 x AS (SELECT r.*, q.max_score, q.question_type, q.question_id IS NOT NULL AS known, row_number() OVER (PARTITION BY attempt_id, r.question_id ORDER BY response_id) AS nth FROM r LEFT JOIN questions q USING (question_id)),

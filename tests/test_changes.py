@@ -17,3 +17,15 @@ def test_arrays(spark):
     row = spark.createDataFrame([(["a", "b"], ["b"], [("e", "x", 0.5), ("e", "y", None)])], "ids array<string>, known array<string>, t array<struct<dimension:string,name:string,confidence:double>>")
     got = row.select(changes.dangling(F.col("ids"), F.col("known")), changes.dangling(F.lit(None).cast("array<string>"), F.col("known")), changes.least_confidence(F.col("t"))).first()
     assert tuple(got) == (["a"], [], 0.5)
+
+
+def test_old_tags_and_evidence(spark):
+    from markwise.operators import migration
+
+    tags = "array<struct<dimension:string,name:string,confidence:double>>"
+    old = "array<struct<observed:string,explanation:string,step:string,confidence:double>>"
+    frame = spark.createDataFrame([("q", [("error", "e", 0.5), ("knowledge", "k", None), (None, "x", None)], [("saw", None, "2", 0.9), (None, "so", "2.5", None)]), ("r", None, None)], f"question_id string, tags {tags}, evidence {old}")
+    own, errors = migration.split_tags(F.col("tags"))
+    rows = frame.select(own.alias("own"), errors.alias("errors"), migration.migrated_evidence(F.col("question_id"), F.col("evidence")).alias("evidence")).collect()
+    assert [t["name"] for t in rows[0]["own"]] == ["k"] and [t["name"] for t in rows[0]["errors"]] == ["e"] and rows[1]["own"] == rows[1]["evidence"] == []
+    assert [tuple(e) for e in rows[0]["evidence"]] == [("ev-q-1", "saw", "", "causal", 2, 0.9), ("ev-q-2", "", "so", "consequential", None, None)]

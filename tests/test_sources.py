@@ -76,6 +76,15 @@ def test_command_line(spark, data, tmp_path, capsys):
     assert cli.main(["query", data, "nothing", str(tmp_path / "out")]) == 2 and "no query" in capsys.readouterr().err
 
 
+def test_command_line_of_the_vocabulary(spark, tmp_path, capsys):
+    path = str(tmp_path / "registry")
+    registry.save_registry(spark.createDataFrame([("error-1", "error", "n", "d", None, "pending", 1, "2026", "2026", None, None)], registry.SCHEMA), path)
+    (tmp_path / "d.json").write_text(json.dumps({"decisions": [{"id": "error-1", "action": "approve", "display_name": "New", "definition": "x"}, {"id": "error-1", "action": "reject"}, {"id": "zz", "action": "approve"}]}))
+    assert cli.main(["vocabulary", path, str(tmp_path / "d.json")]) == 0 and json.loads(capsys.readouterr().out) == {"applied": 1, "ignored": 2}
+    item = registry.load_registry(spark, path).first()
+    assert (item["status"], item["display_name"], item["definition"], item["review_source"]) == ("approved", "New", "x", "teacher") and item["reviewed_at"]
+
+
 def test_streams(spark, data, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
