@@ -19,20 +19,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Letters of other scripts by the Latin letter that they look like.
+from markwise.session import shipped
+
+# Letters of other scripts by the Latin letter that they look like. Letters that seem alike only in some fonts
+# (Greek beta, rho, nu, upsilon, chi in lower case, some Armenian ones) are apart, since there telling them apart matters more.
 LETTERS = {
-    "A": "ΑАᎪ", "B": "ΒВᏴ", "C": "СϹᏟ", "D": "Ꭰ", "E": "ΕЕᎬ", "G": "ԌᏀ", "H": "ΗНᎻ", "I": "ΙІӀ", "J": "ЈᎫ", "K": "ΚКᏦ", "L": "Ꮮ", "M": "ΜМᎷ", "N": "Ν", "O": "ΟОՕ",
-    "P": "ΡРᏢ", "Q": "Ԛ", "R": "Ꭱ", "S": "ЅՏᏚ", "T": "ΤТᎢ", "U": "Ս", "V": "ѴᏙ", "W": "ԜᎳ", "X": "ΧХ", "Y": "ΥҮ", "Z": "ΖᏃ",
-    "a": "а", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡց", "h": "һհ", "i": "і", "j": "јϳ", "l": "ӏ", "n": "ո", "o": "оοօ", "p": "рρ", "q": "ԛզ", "r": "г", "s": "ѕ", "u": "սυ", "v": "ѵν", "w": "ԝ", "x": "хχ", "y": "уү",
-    "æ": "ӕ", "ə": "ә", "ß": "ẞβ", "Ω": "Ω", "μ": "µ", "φ": "ϕɸ", "θ": "ϑ", "ε": "ϵ", "π": "ϖ", "κ": "ϰ", "Δ": "∆", "Σ": "∑", "Π": "∏",
+    "A": "ΑАᎪ", "B": "ΒВᏴ", "C": "СϹᏟ", "D": "Ꭰ", "E": "ΕЕᎬ", "G": "ԌᏀ", "H": "ΗНᎻ", "I": "ΙІӀ", "J": "ЈᎫ", "K": "ΚКᏦ", "L": "Ꮮ", "M": "ΜМᎷ", "N": "Ν", "O": "ΟО",
+    "P": "ΡРᏢ", "Q": "Ԛ", "R": "Ꭱ", "S": "ЅᏚ", "T": "ΤТᎢ", "V": "ѴᏙ", "W": "ԜᎳ", "X": "ΧХ", "Y": "ΥҮ", "Z": "ΖᏃ",
+    "a": "а", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡց", "h": "һհ", "i": "і", "j": "јϳ", "l": "ӏ", "n": "ո", "o": "оοօ", "p": "р", "q": "ԛզ", "s": "ѕ", "u": "ս", "v": "ѵ", "w": "ԝ", "x": "х", "y": "уү",
+    "æ": "ӕ", "ə": "ә", "Ω": "Ω", "μ": "µ", "φ": "ϕɸ", "θ": "ϑ", "ε": "ϵ", "π": "ϖ", "κ": "ϰ", "Δ": "∆", "Σ": "∑", "Π": "∏",
 }
 # Signs by the sign that they look like. All hyphens, minus signs and dashes count as one.
 SIGNS = {
     "-": "‐‑‒–—―−⁃˗﹘﹣－➖⸺⸻־᠆", "/": "∕⁄⧸", "'": "’‘‛ʼʹ′＇", '"': "“”‟″＂", ":": "∶：", ".": "․．", ",": "‚，", ";": ";；", "*": "∗＊", "~": "∼˜～", "|": "∣ǀ｜", "!": "ǃ！",
     "·": "⋅∙‧•・", "=": "꞊＝", "+": "＋᛭", "<": "‹＜", ">": "›＞", "^": "ˆ", "×": "✕⨯", "°": "˚", "√": "⎷", "(": "（", ")": "）", "?": "？",
 }
-# Letters above that only seem alike in some fonts, where telling them apart matters more.
-_APART = frozenset("ẞβгՕՍՏρνυχ")
 # Format characters that print something, and characters outside the format class that print nothing.
 PRINTING_FORMATS = frozenset("؀؁؂؃؄؅۝܏࣢\U000110bd")
 SILENT = frozenset("͏ᅟᅠ឴឵᠋᠌᠍᠏ㅤﾠ")
@@ -50,7 +51,7 @@ def classes() -> tuple[dict[str, str], dict[str, str]]:
     members = {}
     for table in (LETTERS, SIGNS):
         for leader, others in table.items():
-            members[leader] = leader + "".join(c for c in others if c not in _APART)
+            members[leader] = leader + others
     return {c: leader for leader, all_ in members.items() for c in all_}, members
 
 
@@ -127,6 +128,7 @@ def bigram_counts(texts: DataFrame, column: str) -> DataFrame:
                     total[pair] += n
         yield pd.DataFrame([(a, b, n) for (a, b), n in total.items()], columns=["before", "now", "n"])
 
+    shipped(texts.sparkSession)
     return texts.select(column).where(F.col(column).isNotNull()).mapInPandas(run, "before string, now string, n bigint").groupBy("before", "now").agg(F.sum("n").alias("n"))
 
 
@@ -200,6 +202,7 @@ def one_form(df: DataFrame, columns: dict[str, str], counts: DataFrame) -> DataF
     Null stays null and empty stays empty; nothing is trimmed or shortened, blanks are replaced one by one. The model
     is at most the square of some 300 symbols, so it is sent to every worker.
     """
+    shipped(df.sparkSession)
     model = {(r["before"], r["now"]): r["n"] for r in counts.collect()}
     sent = df.sparkSession.sparkContext.broadcast(model)
 
