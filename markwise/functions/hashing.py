@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from markwise.session import shipped_here
+
 
 def canonical(text: str, without: tuple[str, ...] = ()) -> str | None:
     """JSON text with sorted keys, without blanks, numbers spelled as Python does; None if it is not complete JSON."""
@@ -27,6 +29,8 @@ def canonical_json(text: Column, without: tuple[str, ...] = ()) -> Column:
     Python, since the JVM's writers spell some numbers otherwise; one Arrow batch at a time.
     """
 
+    shipped_here()
+
     @F.arrow_udf("string")
     def run(texts: pa.Array) -> pa.Array:
         return pa.array([None if t is None else canonical(t, without) for t in texts.to_pylist()], pa.string())

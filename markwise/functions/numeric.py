@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from markwise.session import shipped_here
+
 SCORE = "decimal(20,6)"
 
 
@@ -38,6 +40,8 @@ def plain_number(value: Column) -> Column:
 def py_round(value: Column, digits: int) -> Column:
     """``value`` rounded half to even on its exact binary value, as Python does; Arrow batches, for report tables."""
 
+    shipped_here()
+
     @F.arrow_udf("double")
     def rounded(values: pa.Array) -> pa.Array:
         return pa.array([None if v is None else round(v, digits) for v in values.to_pylist()], pa.float64())

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from markwise.functions.hashing import digest
 from markwise.operators.nested import complete
+from markwise.session import shipped_here
 
 #: The fields that a chain writes itself.
 SEALS = ("previous_hash", "event_hash", "state_hash")
@@ -38,6 +39,8 @@ def _opened(text: str | None) -> dict | None:
 def opened(payload: Column) -> Column:
     """What a check needs of a document: whether it is an object, whether its log is a list, its state digest, its events."""
 
+    shipped_here()
+
     @F.pandas_udf(_OPENED)
     def run(texts):
         import pandas as pd
@@ -110,6 +113,8 @@ def repaired(documents: DataFrame, at: str, actor: str = "system") -> DataFrame:
         note = {"event_id": "evt-" + digest([doc_id, at])[7:39], "timestamp": at, "event_type": "audit.recomputed", "actor_ref": actor, "payload_hash": digest({"previous_head": chain[-1]["event_hash"] if chain else None, "event_count": len(chain)})}
         return json.dumps(with_event({**document, "audit_log": chain}, note), ensure_ascii=False)
 
+    shipped_here()
+
     @F.arrow_udf("string")
     def run(ids: pa.Array, texts: pa.Array) -> pa.Array:
         return pa.array([rebuilt(i, t) for i, t in zip(ids.to_pylist(), texts.to_pylist(), strict=True)], pa.string())

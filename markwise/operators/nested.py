@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from markwise.session import stored
+from markwise.session import shipped, stored
 
 #: The field that takes what a group holds beside its wanted fields, as one JSON object.
 REST = "(rest)"
@@ -226,6 +226,7 @@ def triples(df: DataFrame, record: str, payload: str, repeated: list[str], keys:
     object is read as dotted fields unless it is a wanted field itself; a list that is not in ``repeated`` is a value, kept as JSON.
     ``loaded`` and ``version`` (a hash of the payload) tell deliveries of one record apart; ``loaded`` names a timestamp.
     """
+    shipped(df.sparkSession)
     many, inherit = frozenset(repeated), {k: tuple(v) for k, v in keys.items()}
     only = None if wanted is None else {k: frozenset(v) for k, v in wanted.items()}
     names = ["record", "loaded", "version", "grp", "ordinals", "field", "value"]

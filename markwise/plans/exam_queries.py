@@ -299,26 +299,38 @@ def sha256_value(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", text.sha256_text(F.col("text")).alias("digest"), text.layout_seed(F.col("text")).alias("seed"))
 
 
-NUMBER = r"^([+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:e[+-]?\d+)?)\s*(.*)$"
+#: Normalised text in DuckDB's SQL as far as these columns need it: full-width forms, ideographic blanks, superscripts, case, blanks, end marks.
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))) + "\u3000\u00a0¹²³"
+_NARROW = "".join(map(chr, range(0x21, 0x7F))) + "  123"
+
+
+def _normal_sql(column: str) -> str:
+    folded = f"lower(translate(nfc_normalize(coalesce({column}, '')), {_quoted(_WIDE)}, {_quoted(_NARROW)}))"
+    return f"rtrim(trim(regexp_replace({folded}, '\\s+', ' ', 'g')), '，。；：、,.!?！？;:')"
+
+
+def _quoted(text_: str) -> str:
+    return "'" + text_.replace("'", "''") + "'"
+
+
+NUMBER = r"^([-+]?(?:\d+\.?\d*|\.\d+)(?:e[-+]?\d+)?)\s*(.*)$"
 
 
 @query(
-    rf"""SELECT question_id, CASE WHEN regexp_matches(t, '{NUMBER}') THEN CAST(regexp_extract(t, '{NUMBER}', 1) AS DECIMAL(20,6)) END AS number, CASE WHEN regexp_matches(t, '{NUMBER}') THEN trim(regexp_extract(t, '{NUMBER}', 2)) END AS unit
-FROM (SELECT question_id, lower(reference_answer) AS t FROM questions WHERE reference_answer IS NOT NULL)"""
+    rf"""SELECT question_id, CASE WHEN regexp_matches(t, '{NUMBER}') THEN TRY_CAST(regexp_extract(t, '{NUMBER}', 1) AS DECIMAL(20,6)) END AS number, CASE WHEN regexp_matches(t, '{NUMBER}') THEN trim(regexp_extract(t, '{NUMBER}', 2)) END AS unit
+FROM (SELECT question_id, {_normal_sql('reference_answer')} AS t FROM questions WHERE reference_answer IS NOT NULL)"""
 )
 def numeric_parse(spark: SparkSession, folder: str) -> DataFrame:
-    """Number and unit that each reference answer begins with."""
-    t = F.lower("reference_answer")
-    return questions(spark, folder).where("reference_answer is not null").select("question_id", text.number_part(t).alias("number"), text.unit_part(t).alias("unit"))
+    """Number and unit that each normalised reference answer begins with."""
+    t = text.normalize_text(F.col("reference_answer"))
+    return questions(spark, folder).where("reference_answer is not null").select("question_id", t.alias("t")).select("question_id", text.number_part(F.col("t")).alias("number"), text.unit_part(F.col("t")).alias("unit"))
 
 
-@query(
-    r"""SELECT response_id, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(lower(coalesce(normalized_answer, '')), '[,，;；\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda x: x <> ''))), '|') AS items
-FROM (SELECT DISTINCT response_id, normalized_answer FROM responses)"""
-)
+@query()
 def answer_sets(spark: SparkSession, folder: str) -> DataFrame:
-    """Items of every answer, as a set; none for a missing answer."""
-    return responses(spark, folder, "normalized_answer").select("response_id", F.array_join(text.answer_set(F.lower(F.coalesce("normalized_answer", F.lit("")))), "|").alias("items"))
+    """Items of every normalised answer, as a set; none for a missing answer."""
+    rows = responses(spark, folder, "normalized_answer").select("response_id", text.normalize_text(F.col("normalized_answer")).alias("t"))
+    return rows.select("response_id", F.array_join(text.answer_set(F.col("t")), "|").alias("items"))
 
 
 @query(

@@ -109,3 +109,10 @@ def shipped(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(str(path))
         _SHIPPED.add(application)
     return spark
+
+
+def shipped_here() -> None:
+    """The package sent to the workers of the active session, for column functions that know no table."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        shipped(spark)
