@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markwise.functions.numeric import to_decimal
-from markwise.functions.text import answer_set, normalize_text, number_part, unit_part
+from markwise.functions.text import answer_set, normalize_text, normalized, number_part, unit_part
+from markwise.session import shipped_here
 
 
 def entries(text: Column) -> Column:
@@ -29,15 +31,19 @@ def matching_prefix(given: Column, wanted: Column) -> Column:
     )["n"]
 
 
-def _listed(df: DataFrame, text: str, out: str) -> DataFrame:
-    """``df`` with an array of normalised entries; each entry is normalised in a row of its own, so that it may hold any text."""
-    spread = df.select("__row", F.posexplode_outer(own_entries(F.col(text), F.col("question_type") == "ordered_steps")).alias("at", "item")).withColumn("item", normalize_text(F.col("item")))
-    lists = spread.groupBy("__row").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "item")))), lambda s: s["item"]).alias(out))  # the entries of one answer
-    return df.join(lists, "__row", "left")
+def normalized_items(items: Column) -> Column:
+    """Every entry of an array normalised; null for null. Arrow batches, for the few answers that are lists."""
+    shipped_here()
 
+    @F.arrow_udf("array<string>")
+    def run(lists: pa.Array) -> pa.Array:
+        return pa.array([None if entries is None else [normalized(e) for e in entries] for entries in lists.to_pylist()], pa.list_(pa.string()))
 
-def compared(rows: DataFrame, key: str = "response_id") -> DataFrame:
-    """``rows`` (``key``, question_type, normalized_answer, reference_answer, max_score and perhaps tolerance and unit_required) with
+    return run(items)
+
+
+def compared(rows: DataFrame, tolerance: float = 0.0) -> DataFrame:
+    """``rows`` (question_type, normalized_answer, reference_answer, max_score and perhaps tolerance and unit_required) with
     matches, match_share, match_note, points, certainty and error_step.
 
     Texts are normalised once per side. Single choice, true or false, blanks and formulas match when equal; blanks with a list of
@@ -46,16 +52,17 @@ def compared(rows: DataFrame, key: str = "response_id") -> DataFrame:
     share of leading steps; the steps of a plain text are separated by semicolons. ``error_step`` is the first step that differs (1 for other types), null
     for a full match. Nothing is decided, and certainty is null, without a reference and for types without a rule; a number that
     cannot be read has certainty 0.5 and no points. A missing or empty answer has no points. ``points`` are the share of
-    max_score, rounded half up to two places for steps. ``key`` must be unique.
+    max_score, rounded half up to two places for steps. ``tolerance`` holds where a row has none of its own.
     """
-    df = rows.withColumns({"__row": F.col(key), "__a": normalize_text(F.col("normalized_answer")), "__r": normalize_text(F.col("reference_answer"))})
     several = entries(F.col("reference_answer")).isNotNull() | entries(F.col("normalized_answer")).isNotNull()
-    by_list = F.col("question_type").isin("ordered_steps", "fill_blank", "multiple_choice") & ((F.col("question_type") == "ordered_steps") | several)
-    listed = _listed(_listed(df.where(by_list), "normalized_answer", "__given"), "reference_answer", "__wanted")
-    df = df.where(~F.coalesce(by_list, F.lit(False))).withColumns({"__given": F.lit(None).cast("array<string>"), "__wanted": F.lit(None).cast("array<string>")}).unionByName(listed)
+    steps = F.coalesce(F.col("question_type") == "ordered_steps", F.lit(False))
+    by_list = steps | (F.coalesce(F.col("question_type").isin("fill_blank", "multiple_choice"), F.lit(False)) & F.coalesce(several, F.lit(False)))
+    listed = lambda text: normalized_items(F.when(by_list, own_entries(F.col(text), steps)))
+    df = rows.withColumns({"__a": normalize_text(F.col("normalized_answer")), "__r": normalize_text(F.col("reference_answer")), "__given": listed("normalized_answer"), "__wanted": listed("reference_answer")})
 
     a, r, kind = F.col("__a"), F.col("__r"), F.col("question_type")
-    limit = F.coalesce(to_decimal(F.col("tolerance")), F.lit(0)) if "tolerance" in rows.columns else F.lit(0).cast("decimal(20,6)")
+    common = F.lit(tolerance).cast("decimal(20,6)")
+    limit = F.coalesce(to_decimal(F.col("tolerance")), common) if "tolerance" in rows.columns else common
     near = F.abs(number_part(a) - number_part(r)) <= limit
     needs = F.coalesce(F.col("unit_required"), unit_part(r) != "") if "unit_required" in rows.columns else unit_part(r) != ""
     unit = ~needs | (unit_part(a) == unit_part(r))
@@ -80,10 +87,10 @@ def compared(rows: DataFrame, key: str = "response_id") -> DataFrame:
         .when(~F.coalesce(kind.isin("single_choice", "true_false", "fill_blank", "formula", "multiple_choice", "numeric", "ordered_steps"), F.lit(False)), "no rule")
     )
     top = F.coalesce(to_decimal(F.col("max_score")), F.lit(0).cast("decimal(20,6)")) if "max_score" in rows.columns else F.lit(1).cast("decimal(20,6)")
-    steps = F.when(empty | (n == 0), top * (~empty).cast("int")).otherwise(F.round(top * m / n, 2))
-    points = F.when(share.isNull(), None).when(kind == "ordered_steps", steps.cast("double")).otherwise(top.cast("double") * share)
+    by_step = F.when(empty | (n == 0), top * (~empty).cast("int")).otherwise(F.round(top * m / n, 2))
+    points = F.when(share.isNull(), None).when(kind == "ordered_steps", by_step.cast("double")).otherwise(top.cast("double") * share)
     certainty = F.when(F.coalesce(note, F.lit("")).isin("reference missing", "no rule"), None).when(F.coalesce(note, F.lit("")) == "number not readable", 0.5).otherwise(1.0)
     # more steps than wanted err at the first one too many
     step = F.when(share.isNull(), None).when(empty, 1).when(kind == "ordered_steps", F.when(m < n, m + 1).when(F.size("__given") != n, F.least(F.size("__given"), n) + 1)).when(share < 1.0, 1)
     done = df.withColumns({"match_share": share, "match_note": note, "points": points, "certainty": certainty, "error_step": step.cast("int")})
-    return done.withColumn("matches", F.col("match_share") == 1.0).drop("__a", "__r", "__row", "__given", "__wanted")
+    return done.withColumn("matches", F.col("match_share") == 1.0).drop("__a", "__r", "__given", "__wanted")
