@@ -105,7 +105,7 @@ def question_insight(questions: DataFrame, rows: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(scored(), F.col("max_u") - F.col("score_u"))), F.lit(0)).alias("lost_u"), F.count_if(F.col("review_status").isin("needs_review", "provisional")).alias("review_count"),
     )
     all_ = questions.select("question_id").join(got, "question_id", "left").na.fill(0, ["responses", "incorrect", "scored", "review_count"]).withColumn("lost_u", F.coalesce("lost_u", F.lit(0)))
-    rate = F.when(F.col("responses") > 0, py_round(F.col("incorrect") / F.col("responses") * 100, 1)).otherwise(0.0)
+    rate = F.when(F.col("responses") > 0, py_round(F.try_divide(F.col("incorrect"), F.col("responses")) * 100, 1)).otherwise(0.0)
     ranked = ranked_by(all_, [F.desc("lost_u"), F.desc("incorrect"), F.desc("review_count"), F.asc("question_id")])
     return ranked.select("question_id", "responses", "incorrect", "scored", _points(F.col("lost_u")).alias("lost_score"), "review_count", rate.alias("incorrect_rate"), "position")
 
@@ -152,7 +152,7 @@ def student_summary(rows: DataFrame) -> DataFrame:
     got = rows.groupBy(F.coalesce(F.nullif(F.col("student_ref"), F.lit("")), F.lit("anonymous-student")).alias("student_ref")).agg(
         F.count_distinct("attempt_id").alias("attempts"), _sum(scored(), "score_u").alias("e"), _sum(scored(), "max_u").alias("m"), F.count_if(~scored()).alias("unscored"), F.count_if(marked).alias("incorrect"), F.count_distinct(F.when(marked, F.col("question_id"))).alias("incorrect_questions")
     )
-    return got.select("student_ref", "attempts", _points(F.col("e")).alias("scored_score"), _points(F.col("m")).alias("scored_max"), "unscored", "incorrect", "incorrect_questions", F.when(F.col("m") > 0, py_round(F.col("e").cast("double") / F.col("m").cast("double") * 100, 1)).alias("score_rate"))
+    return got.select("student_ref", "attempts", _points(F.col("e")).alias("scored_score"), _points(F.col("m")).alias("scored_max"), "unscored", "incorrect", "incorrect_questions", F.when(F.col("m") > 0, py_round(F.try_divide(F.col("e").cast("double"), F.col("m").cast("double")) * 100, 1)).alias("score_rate"))
 
 
 def student_top(rows: DataFrame, names: Column, most: int = 2) -> DataFrame:
